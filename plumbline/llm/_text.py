@@ -12,6 +12,8 @@ import pyarrow as pa
 
 #: Texts are worked through in slices of about this many bytes, whatever the size of an Arrow batch.
 SLICE_BYTES = 2_000_000
+#: And of so many rows at most.
+SLICE_ROWS = 1 << 16
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -63,7 +65,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + SLICE_ROWS)
         yield i, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

@@ -1,12 +1,13 @@
 """Queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import chat, html_text, licenses, mixing, toxicity
+from . import chat, decontamination, html_text, licenses, mixing, toxicity
 
 QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op8_chat_format": chat.op8_chat_format,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_html_extract": html_text.op10_html_extract,
 }
-SQL = {"op8_chat_format": chat.SQL, "op9_mix_sources": mixing.SQL}
+SQL = {"op5_decontamination": decontamination.SQL, "op8_chat_format": chat.SQL, "op9_mix_sources": mixing.SQL}
