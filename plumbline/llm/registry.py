@@ -1,11 +1,12 @@
 """Queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import chat, decontamination, html_text, licenses, mixing, near_dedup, toxicity
+from . import chat, decontamination, html_text, licenses, mixing, near_dedup, substrings, toxicity
 
 QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_repeated_passages": substrings.op6_repeated_passages,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_chat_format": chat.op8_chat_format,
     "op9_mix_sources": mixing.op9_mix_sources,
