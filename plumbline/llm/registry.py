@@ -1,8 +1,10 @@
 """Queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import chat, decontamination, html_text, licenses, mixing, near_dedup, substrings, toxicity
+from . import chat, decontamination, html_text, language_model, licenses, mixing, near_dedup, neighbours, substrings, toxicity
 
 QUERIES = {
+    "op1_lm_score": language_model.op1_lm_score,
+    "op2_nearest": neighbours.op2_nearest,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontamination.op5_decontamination,
