@@ -1,40 +1,5 @@
-"""Cutting lineage through the shared folder of the cluster."""
+"""Intermediate tables of this package's operators."""
 
-from __future__ import annotations
+from plumbline.store import shared_dir, stored
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: it survives lost executors and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/plumbline/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is over: the files go with the checkpoint folder
-            return
+__all__ = ["shared_dir", "stored"]
