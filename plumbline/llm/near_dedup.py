@@ -20,6 +20,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Shingles are hashed to so many classes, whose document frequencies are counted over all documents: the table has this size at any size of the corpus.
 CLASSES = 1 << 18
+#: Leaders of a bucket in each round, and bytes of shingles of a block of what is left.
+LEADERS, BLOCK = (1, 4), 4_000_000
 _POOL = 1 << 16
 _BITS = np.uint64(47)
 
@@ -126,35 +128,105 @@ def weighted_jaccard(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarra
 
 
 def _links(contents: DataFrame, docs: DataFrame, idf, key: str, text: str) -> DataFrame:
-    """(a, b): pairs of contents of one bucket that are verified.
-
-    Each bucket is led by a few members (one in the first round, four times as
-    many in each later one); members that are similar to a leader leave it, and
-    so do leaders, which have then been held against all others. Buckets are
-    worked through until none has two members left.
+    """(node, root): the components of contents that are linked, for all nodes but the roots.
+
+    Each bucket is led by its most central members, those that share most
+    buckets with most others: one in the first round, some in the next. Members
+    are held against the leaders of another component than their own; a bucket
+    is settled when one component is left in it. In those that are not, members
+    outside the largest component are held against all others, in blocks of a
+    few megabytes.
     """
     spark = docs.sparkSession
-    left = contents.select("c", F.posexplode("bands").alias("band", "h"))
-    crowded = left.groupBy("band", "h").count().where("count > 1").select("band", "h")
-    left = stored(left.join(crowded, ["band", "h"]))
+    rows = contents.select("c", F.posexplode("bands").alias("band", "h"))
+    crowded = rows.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
+    left = stored(rows.join(crowded, ["band", "h"]))
+    central = left.groupBy("c").agg(F.sum("n").alias("central"))
+    left = stored(left.join(central, "c").select("band", "h", "c", "central", F.col("c").alias("root")))
     wanted = contents.join(left.select("c").distinct(), "c").select(F.col("d").alias(key))
     sets = stored(docs.select(key, text).join(wanted.distinct(), docs[key].eqNullSafe(wanted[key]), "left_semi").select(text).mapInArrow(_set_rows, "c binary, shingles binary, counts binary").dropDuplicates(["c"]))
-    found, size = None, 1
     shared = spark.sparkContext.broadcast(idf)
-    while not left.isEmpty():
-        by = W.partitionBy("band", "h").orderBy("c" if size == 1 else F.xxhash64("c", "band"), "c")
-        leaders = left.withColumn("i", F.row_number().over(by)).where(F.col("i") <= size).select("band", "h", F.col("c").alias("lead"))
-        pairs = left.join(leaders, ["band", "h"]).where("c <> lead")
-        new = pairs.select("c", "lead").distinct()
-        rows = new.join(sets, "c").select("c", "lead", F.col("shingles").alias("s1"), F.col("counts").alias("t1")).join(sets.select(F.col("c").alias("lead"), F.col("shingles").alias("s2"), F.col("counts").alias("t2")), "lead")
-        good = stored(rows.mapInArrow(_verifier(shared), "c binary, lead binary"))
-        found = good if found is None else found.unionByName(good)
-        out = pairs.join(good, ["c", "lead"], "left_semi").select("band", "h", "c").unionByName(leaders.withColumnRenamed("lead", "c")).distinct()
-        rest = left.join(out, ["band", "h", "c"], "left_anti")
-        many = rest.groupBy("band", "h").count().where("count > 1").select("band", "h")
-        left = stored(rest.join(many, ["band", "h"], "left_semi"))
-        size *= 4
-    return (found if found is not None else left.select("c", F.col("c").alias("lead"))).select(F.col("c").alias("a"), F.col("lead").alias("b"))
+    roots = left.select(F.col("c").alias("node"), "root").limit(0)
+    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for size in LEADERS:
+        by = W.partitionBy("band", "h").orderBy(F.desc("central"), "c")
+        leaders = left.withColumn("i", F.row_number().over(by)).where(F.col("i") <= size).select("band", "h", F.col("c").alias("lead"), F.col("root").alias("lead_root"))
+        pairs = left.join(leaders, ["band", "h"]).where("root <> lead_root").select("c", "lead").distinct()
+        both = pairs.join(sets, "c").select("c", "lead", F.col("shingles").alias("s1"), F.col("counts").alias("t1")).join(sets.select(F.col("c").alias("lead"), F.col("shingles").alias("s2"), F.col("counts").alias("t2")), "lead")
+        good = both.mapInArrow(_verifier(shared), "c binary, lead binary").select(F.col("c").alias("a"), F.col("lead").alias("b"))
+        found = stored(found.unionByName(good))
+        roots = components(found)
+        rest = left.join(leaders.select("band", "h", F.col("lead").alias("c")), ["band", "h", "c"], "left_anti").drop("root")
+        rest = rest.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        left = stored(_unsettled(rest))
+        if left.isEmpty():
+            return roots
+    return components(found.unionByName(_in_blocks(left, sets, shared)))
+
+
+def _in_blocks(left: DataFrame, sets: DataFrame, shared) -> DataFrame:
+    """(a, b): links between components of one bucket, as many as join them. Both sides of a bucket are dealt to blocks by their size."""
+    bucket = ["band", "h"]
+    members = stored(left.select(*bucket, "c", "root").join(sets, "c").withColumn("size", F.length("shingles") + F.length("counts")))
+    largest = members.groupBy(*bucket, "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy(*bucket).agg(F.max(F.struct("n", "root")).alias("x"), F.sum("size").alias("all"), F.max_by("size", F.struct("n", "root")).alias("top"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    plan = largest.select(*bucket, F.col("x.root").alias("main"), F.greatest(F.lit(1), blocks(F.col("all"))).alias("m"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("top"))).alias("s"))
+    dealt = members.join(plan, bucket)
+    at = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["c", "root", "shingles", "counts"]
+    one = dealt.withColumn("i", at("m")).select(*bucket, "i", every("s").alias("j"), *columns)
+    other = dealt.where("root <> main").withColumn("j", at("s")).select(*bucket, every("m").alias("i"), "j", *columns)
+    group = [*bucket, "i", "j"]
+    other = other.toDF(*[f"{x}_" for x in other.columns])
+    return one.groupBy(*group).cogroup(other.groupBy(*[f"{x}_" for x in group])).applyInArrow(_block_links(shared), "a binary, b binary")
+
+
+def _block_links(shared):
+    def run(_, left, right):
+        idf = shared.value
+        up: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        def read(table):
+            s = [np.frombuffer(x.as_py(), np.uint32) for x in table["shingles"]]
+            t = [np.frombuffer(x.as_py(), np.uint16) if x.as_py() else None for x in table["counts"]]
+            return table["c"].to_pylist(), table["root"].to_pylist(), s, [np.ones(len(a), np.uint16) if b is None else b for a, b in zip(s, t, strict=True)]
+
+        out = []
+        if left.num_rows and right.num_rows:
+            c, root, s, t = read(left)
+            every = np.concatenate(s)
+            known, where = np.unique(every, return_inverse=True)
+            weight = np.concatenate(t) * idf[every & np.uint32(CLASSES - 1)]
+            starts = np.append(0, np.cumsum([len(x) for x in s])[:-1])
+            total = np.add.reduceat(weight, starts)
+            own = np.zeros(len(known), weight.dtype)
+            for c1, r1, s1, t1 in zip(*read(right.rename_columns([x.removesuffix("_") for x in right.column_names])), strict=True):
+                w1 = t1 * idf[s1 & np.uint32(CLASSES - 1)]
+                at = np.minimum(np.searchsorted(known, s1), len(known) - 1)
+                same = known[at] == s1
+                own[:] = 0
+                own[at[same]] = w1[same]
+                both = np.add.reduceat(np.minimum(weight, own[where]), starts)
+                for k in np.flatnonzero(both >= SIMILARITY * (total + w1.sum() - both) * (1 - 1e-6)).tolist():
+                    a, b = top(r1), top(root[k])
+                    if a != b and weighted_jaccard(s1, t1, s[k], t[k], idf) >= SIMILARITY:
+                        up[max(a, b)] = min(a, b)
+                        out.append((c1, c[k]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    return run
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components."""
+    several = members.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "h")
+    return members.join(several, ["band", "h"], "left_semi")
 
 
 def _set_rows(batches):
@@ -222,7 +294,7 @@ def _classes(docs: DataFrame, key: str, text: str, spark) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     rows = stored(docs.select(F.col(key).alias("d"), text).mapInArrow(_sampled(spark.sparkContext.broadcast(idf), 1), f"d {kind}, c binary, bands array<long>"))
     contents = rows.groupBy("c").agg(F.min("d").alias("d"), F.first("bands").alias("bands"), F.count("*").alias("n"))
-    roots = components(_links(contents, docs, idf, key, text))
+    roots = _links(contents, docs, idf, key, text)
     named = contents.select("c", "d", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     classes = named.groupBy("root").agg(F.min("d").alias("class_id"), F.sum("n").alias("class_size"))
     of = stored(named.select("c", "root").join(classes, "root").select("c", "root", "class_id", "class_size"))
