@@ -28,7 +28,7 @@ from ._text import NON_SPACE, mix, slices, words
 #: Tokens of a block, and bytes of text for each range of hashes.
 BLOCK_TOKENS, RANGE_BYTES = 1_000_000, 8_000_000
 #: Bits of a hash that are kept below those of its range, for words and for bigrams.
-BITS = (49, 41)
+BITS = (41, 32)
 #: Buckets of context frequency: unseen, then by powers of two. Rounds of expectation-maximisation.
 BUCKETS, ROUNDS = 40, 60
 END = np.uint64(0x656E64)
@@ -53,15 +53,19 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _small(n: np.ndarray) -> bytes:
-    """Counts in 1, 2, 4 or 8 bytes each, compressed."""
+    """Counts in 1, 2, 4 or 8 bytes each, first bytes first, compressed."""
     top = int(n.max()) if len(n) else 0
     size = next(s for s in (1, 2, 4, 8) if top < 1 << (8 * s) or s == 8)
-    return bytes([size]) + pa.compress(n.astype(f"<u{size}").tobytes(), codec="zstd", asbytes=True) + len(n).to_bytes(8, "little")
+    planes = n.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+    return bytes([size]) + pa.compress(planes, codec="zstd", asbytes=True) + len(n).to_bytes(8, "little")
 
 
 def _counts(data: bytes) -> np.ndarray:
     size, n = data[0], int.from_bytes(data[-8:], "little")
-    return np.frombuffer(pa.decompress(data[1:-8], size * n, codec="zstd", asbytes=True), f"<u{size}").astype(np.int64) if n else np.zeros(0, np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data[1:-8], size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{size}")[:, 0].astype(np.int64)
 
 
 def _keys(vocabulary: np.ndarray, ids: np.ndarray, ranges: int):
@@ -81,8 +85,7 @@ def _tokenise(ranges: int, kind: pa.DataType):
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         vocabulary, at = vocabulary[order], rank[at]
-        stream = at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        head = {"task": number, "ids": ids, "lengths": n.tolist(), "train": learn.tolist(), "stream": pa.compress(stream, codec="zstd", asbytes=True), "vocabulary": vocabulary.tobytes()}
+        head = {"task": number, "ids": ids, "lengths": n.tolist(), "train": learn.tolist(), "stream": _small(at), "vocabulary": vocabulary.tobytes()}
         rows = [head | {"kind": -1, "range": 0, "keys": None, "counts": None}]
         token = np.repeat(learn, n)
         (w, wi), (b, bi), _ = _keys(vocabulary, at, ranges)
@@ -141,46 +144,56 @@ def _totals(key, table):
     )
 
 
+def _resolve(ranges: int, kind: pa.DataType):
+    """A block and its counts to one row: for each token the counts of its bigram and of itself, and that of the end."""
+
+    def run(_, left, right):
+        names = ("ids", "lengths", "train", "pair", "word", "ends")
+        kinds = (pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64())
+        rows = []
+        if left.num_rows:
+            row = left.slice(0, 1).to_pylist()[0]
+            vocabulary, at = np.frombuffer(row["vocabulary"], np.uint64), _counts(row["stream"])
+            (_, wi), (_, bi), _ = _keys(vocabulary, at, ranges)
+            found: tuple[dict, dict] = ({}, {})
+            for what, r, totals in zip(right["kind"].to_pylist(), right["range"].to_pylist(), right["totals"], strict=True):
+                found[what][r] = _counts(totals.as_py())
+            words_, pairs = (np.concatenate([x[r] for r in sorted(x)]) for x in found)
+            per = words_[wi]
+            rows.append({k: row[k] for k in names[:3]} | {"pair": _small(pairs[bi]), "word": _small(per[at]), "ends": int(per[np.flatnonzero(vocabulary == END)[0]])})
+        return pa.Table.from_pylist(rows, schema=pa.schema(list(zip(names, kinds, strict=True))))
+
+    return run
+
+
 class Block:
-    """A block with its counts: for each token, those of its bigram, its context and itself."""
+    """For each token of a block the counts of its bigram, its context and itself."""
 
-    def __init__(self, left: pa.Table, right: pa.Table, ranges: int):
-        row = left.slice(0, 1).to_pylist()[0]
+    def __init__(self, row: dict):
         self.ids, self.lengths, self.train = row["ids"], np.array(row["lengths"], np.int64), np.array(row["train"], bool)
-        vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        n = int(self.lengths.sum())
-        stream = np.frombuffer(pa.decompress(row["stream"], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-        at = np.ascontiguousarray(stream.T).view("<u4")[:, 0].astype(np.int64)
-        (w, wi), (b, bi), _ = _keys(vocabulary, at, ranges)
-        found: tuple[dict, dict] = ({}, {})
-        for kind, r, totals in zip(right["kind"].to_pylist(), right["range"].to_pylist(), right["totals"], strict=True):
-            found[kind][r] = _counts(totals.as_py())
-        count = [np.concatenate([x[r] for r in sorted(x)]) for x in found]
-        self.word = count[0][wi][at]
-        self.pair = count[1][bi]
-        end = np.flatnonzero(vocabulary == END)[0]
-        self.context = np.append(count[0][wi][end], self.word[:-1])
+        self.pair, self.word = _counts(row["pair"]), _counts(row["word"])
+        self.context = np.append(row["ends"], self.word[:-1])
+
+
+def _blocks(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Block(batch.slice(i, 1).to_pylist()[0])
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(BUCKETS - 1, np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0)).astype(np.int64)
 
 
-def _histogram(ranges: int):
-    def run(_, left, right):
-        out = np.zeros((0, 4), np.int64)
-        if left.num_rows and right.num_rows:
-            x = Block(left, right, ranges)
-            learn = np.repeat(x.train, x.lengths)
-            context, pair, word = x.context[learn] - 1, x.pair[learn] - 1, x.word[learn] - 1
-            # quarter powers of two of both estimates; -1: no count is left
-            q2 = np.where(pair > 0, np.round(4 * np.log2(np.maximum(context, 1) / np.maximum(pair, 1))), -1).astype(np.int64)
-            q1 = np.where(word > 0, np.round(4 * np.log2(np.maximum(word, 1))), -1).astype(np.int64)
-            cell, n = np.unique((_bucket(context) << 32) | ((q2 + 1) << 16) | (q1 + 1), return_counts=True)
-            out = np.stack([cell >> 32, ((cell >> 16) & 0xFFFF) - 1, (cell & 0xFFFF) - 1, n], 1)
-        return pa.table({k: pa.array(out[:, i], pa.int64()) for i, k in enumerate(("bucket", "q2", "q1", "n"))})
-
-    return run
+def _histogram(batches):
+    for x in _blocks(batches):
+        learn = np.repeat(x.train, x.lengths)
+        context, pair, word = x.context[learn] - 1, x.pair[learn] - 1, x.word[learn] - 1
+        # quarter powers of two of both estimates; -1: no count is left
+        q2 = np.where(pair > 0, np.round(4 * np.log2(np.maximum(context, 1) / np.maximum(pair, 1))), -1).astype(np.int64)
+        q1 = np.where(word > 0, np.round(4 * np.log2(np.maximum(word, 1))), -1).astype(np.int64)
+        cell, n = np.unique((_bucket(context) << 32) | ((q2 + 1) << 16) | (q1 + 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (cell >> 32, ((cell >> 16) & 0xFFFF) - 1, (cell & 0xFFFF) - 1, n)], names=["bucket", "q2", "q1", "n"])
 
 
 def mixture(cells, tokens: int, words_: int) -> np.ndarray:
@@ -200,19 +213,17 @@ def mixture(cells, tokens: int, words_: int) -> np.ndarray:
     return weights
 
 
-def _score(ranges: int, weights: np.ndarray, tokens: int, words_: int, kind: pa.DataType):
-    def run(_, left, right):
+def _score(weights: np.ndarray, tokens: int, words_: int, kind: pa.DataType):
+    def run(batches):
         names = ("d", "train", "n_tokens", "n_known", "base_score", "score")
         kinds = (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        if not left.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
-        x = Block(left, right, ranges)
-        w = weights[_bucket(x.context)]
-        p = w[:, 0] * x.pair / np.maximum(x.context, 1) + w[:, 1] * x.word / max(1, tokens) + w[:, 2] / (words_ + 1)
-        base = np.log10((x.word + 0.5) / (tokens + 0.5 * (words_ + 1)))
-        first = np.append(0, np.cumsum(x.lengths)[:-1])
-        sums = [np.add.reduceat(v, first) for v in ((x.word > 0).astype(np.int64), base, np.log10(p))]
-        return pa.table({k: pa.array(v, t) for k, v, t in zip(names, (x.ids, x.train, x.lengths, *sums), kinds, strict=True)})
+        for x in _blocks(batches):
+            w = weights[_bucket(x.context)]
+            p = w[:, 0] * x.pair / np.maximum(x.context, 1) + w[:, 1] * x.word / max(1, tokens) + w[:, 2] / (words_ + 1)
+            base = np.log10((x.word + 0.5) / (tokens + 0.5 * (words_ + 1)))
+            first = np.append(0, np.cumsum(x.lengths)[:-1])
+            sums = [np.add.reduceat(v, first) for v in ((x.word > 0).astype(np.int64), base, np.log10(p))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((x.ids, x.train, x.lengths, *sums), kinds, strict=True)], names=list(names))
 
     return run
 
@@ -238,9 +249,10 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     n, v = sums["n"] or 0, sums["v"] or 0
     blocks = made.where("kind < 0").select("task", "ids", "lengths", "train", "stream", "vocabulary").groupBy("task")
     counts = totals.where("task >= 0").select("task", "kind", "range", "totals").groupBy("task")
-    cells = blocks.cogroup(counts).applyInArrow(_histogram(ranges), "bucket long, q2 long, q1 long, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
+    resolved = stored(blocks.cogroup(counts).applyInArrow(_resolve(ranges, kind), f"ids array<{simple}>, lengths array<long>, train array<boolean>, pair binary, word binary, ends long"))
+    cells = resolved.mapInArrow(_histogram, "bucket long, q2 long, q1 long, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
     weights = mixture(cells, n, v)
-    out = blocks.cogroup(counts).applyInArrow(_score(ranges, weights, n, v, kind), f"d {simple}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = resolved.mapInArrow(_score(weights, n, v, kind), f"d {simple}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("d").alias(key), "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
