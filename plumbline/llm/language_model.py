@@ -200,6 +200,8 @@ def mixture(cells, tokens: int, words_: int) -> np.ndarray:
     """Weights of bigram, word and uniform estimate for each bucket, by expectation-maximisation."""
     weights = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
     weights[0] = [0, 0.9, 0.1]
+    if not tokens:
+        weights[:] = [0, 0, 1]
     bucket, q2, q1, n = (cells[k].to_numpy() for k in ("bucket", "q2", "q1", "n"))
     p = np.stack([np.where(q2 >= 0, 2.0 ** (-q2 / 4), 0), np.where(q1 >= 0, 2.0 ** (q1 / 4) / max(1, tokens - 1), 0), np.full(len(n), 1 / (words_ + 1))], 1)
     for b in np.unique(bucket).tolist():
