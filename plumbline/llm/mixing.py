@@ -44,8 +44,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: f
     Adds size, source_size, target and taken (columns of these names are
     replaced). Every document of a source comes whole `floor(target / size of
     the source)` times; the rest is filled with one more copy of documents in
-    the order of a seeded hash of key and text, up to the document that ends
-    nearest to the target. The hash space is cut into 4096 ranges summed before
+    the order of a seeded hash of key and text, up to the last document that ends
+    below the target, and one more copy of the document that comes nearest to
+    what is then missing. The hash space is cut into 4096 ranges summed before
     the shuffle, so only one range of a source is ever sorted in one task.
 
     Null text: size 0. Null source: a source of its own, after all others.
@@ -71,18 +72,27 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: f
         .select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_before", "_fill")
     )
     inside = W.partitionBy("_s").orderBy("_h", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = F.col("_end") <= F.col("_fill")
     cut = (
         rows.select(F.col(source).alias("_source"), "_bucket", "_h", "size")
         .join(_near(edge, n), same(F.col("_source"), F.col("_s")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("_end", F.col("_before") + F.sum("size").over(inside))
         .groupBy("_s")
-        .agg(F.max(F.when(F.col("_end") - F.col("size") / 2 <= F.col("_fill"), F.col("_h"))).alias("_last"), F.first("_b").alias("_b"))
-        .select("_s", F.coalesce("_last", "_b").alias("_cut"))
+        .agg(F.max(F.when(within, F.col("_h"))).alias("_last"), F.first("_b").alias("_b"), F.coalesce(F.max(F.when(within, F.col("_end"))), F.first("_before")).alias("_upto"))
+        .select("_s", F.coalesce("_last", "_b").alias("_cut"), "_upto")
     )
-    plan = goal.join(_near(cut, n), same(F.col("_source"), F.col("_s")), "left").select("_source", "_total", "_target", "_whole", F.coalesce("_cut", F.lit("")).alias("_cut"))
-    return rows.join(_near(plan, n), same(rows[source], F.col("_source"))).select(
-        *own, "size", F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * (F.col("_whole") + F.when(F.col("_h") <= F.col("_cut"), 1).otherwise(0))).cast("long").alias("taken")
+    plan = goal.join(_near(cut, n), same(F.col("_source"), F.col("_s")), "left").select("_source", "_total", "_target", "_whole", F.coalesce("_cut", F.lit("")).alias("_cut"), F.when(F.col("_cut").isNotNull(), F.col("_fill") - F.col("_upto")).otherwise(F.lit(0.0)).alias("_gap"))
+    short = plan.where("_gap > 0").select(F.col("_source").alias("_s"), "_cut", "_gap")
+    off = F.abs(F.col("_gap") - F.col("size"))
+    last = (
+        rows.select(F.col(source).alias("_source"), "_h", "size")
+        .join(_near(short, n), same(F.col("_source"), F.col("_s")) & (F.col("_h") > F.col("_cut")) & (off < F.col("_gap")))
+        .groupBy("_s")
+        .agg(F.min_by("_h", F.struct(off, F.col("_h"))).alias("_one"))
     )
+    plan = plan.join(_near(last, n), same(F.col("_source"), F.col("_s")), "left").select("_source", "_total", "_target", "_whole", "_cut", "_one")
+    more = F.when((F.col("_h") <= F.col("_cut")) | F.coalesce(F.col("_h") == F.col("_one"), F.lit(False)), 1).otherwise(0)
+    return rows.join(_near(plan, n), same(rows[source], F.col("_source"))).select(*own, "size", F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * (F.col("_whole") + more)).cast("long").alias("taken"))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -104,7 +114,9 @@ g AS (SELECT *, coalesce(least(cap, max(CASE WHEN own <= ratio THEN own END) OVE
 p AS (SELECT source, total, target, CASE WHEN total > 0 THEN CAST(floor(target / total) AS BIGINT) ELSE 0 END AS whole FROM g),
 c AS (
   SELECT d.*, p.total, p.target, p.whole, p.target - p.whole * p.total AS fill, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, total AS source_size, target, CAST(size * (whole + CASE WHEN fill > 0 AND upto - size / 2.0 <= fill THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM c
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+f AS (SELECT *, fill > 0 AND upto <= fill AS inside, fill - coalesce(max(CASE WHEN upto <= fill THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, NOT inside AND abs(gap - size) < gap ORDER BY abs(gap - size), h) = 1 AND NOT inside AND abs(gap - size) < gap AS one FROM f)
+SELECT doc_id, size, total AS source_size, target, CAST(size * (whole + CASE WHEN inside OR one THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM o
 """
