@@ -14,6 +14,7 @@ from plumbline.plans.adapters import Tables
 from plumbline.plans.duck import SCOPED
 from plumbline.plans.report import catalog
 from plumbline.sources import diff, lcov
+from plumbline.store import stored
 
 K = 50
 CONFIG = Config()
@@ -32,7 +33,9 @@ def graph(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def fans(t: Tables) -> DataFrame:
-    return structural.fan(*graph(t))
+    """Written once: rows look it up several times, and the units below it too."""
+    t.methods = stored(t.methods)
+    return stored(structural.fan(*graph(t)))
 
 
 def all_distributions(t: Tables, fan: DataFrame) -> DataFrame:
@@ -40,12 +43,12 @@ def all_distributions(t: Tables, fan: DataFrame) -> DataFrame:
     covered = coverage.coverage(t.nested, t.lines, t.branches)
     parts = [complexity.complexity_distribution(t.code), structural.fan_distribution(fan, "fan_in"), structural.fan_distribution(fan, "fan_out"), structs.methods_per_struct(t.code), structs.lcom4(t.cohesion), complexity.file_loc(t.code), coverage.coverage_distribution(covered)]
     plain = reduce(DataFrame.unionByName, parts).withColumn("raw", F.col("value").cast("double"))
-    return plain.unionByName(duplication.duplication_distribution(pct))
+    return stored(plain.unionByName(duplication.duplication_distribution(pct)))
 
 
 def code_distributions(t: Tables, fan: DataFrame) -> DataFrame:
     parts = [complexity.complexity_distribution(t.code), structural.fan_distribution(fan, "fan_in"), structural.fan_distribution(fan, "fan_out")]
-    return reduce(DataFrame.unionByName, parts)
+    return stored(reduce(DataFrame.unionByName, parts))
 
 
 SHORT = ("metric", "symbol", "value", "bucket", "severity")
