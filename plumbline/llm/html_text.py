@@ -22,6 +22,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 OUTSIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification alert overlay paywall pager pagination popup promo promotion promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets contentinfo complementary responses".split()
 )
+REPLIES = frozenset("ad ads advert comment comments discussion disqus promo related recommended replies reply responses sponsored".split())
 HEADER = frozenset("header siteheader pageheader".split())
 INSIDE = frozenset("article content post entry story main maincontent articlebody postbody entrycontent".split())
 _NAME = re.compile(r"[a-z0-9]+")
@@ -32,7 +33,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, left out, container
+        self.open: list[tuple[str, bool, int, bool]] = []  # name, left out, container, left out for good
         self.out, self.container, self.count = 0, 0, 0
         self.lines: list[tuple[str, int, int]] = []  # text, tags, container
         self.text: list[str] = []
@@ -73,11 +74,15 @@ class Lines(HTMLParser):
         if names & OUTSIDE and tag not in ("html", "body", "article", "main") or tag == "article" and names & {"comment", "comments", "reply", "ad", "promo", "related"}:
             left = True
         container = self.container
+        if tag in CONTAINERS and self.out and not self.count and not left and not any(hard for *_, hard in self.open):
+            # a wrapper that is only named after a part of the page ("with-sidebar"): the article within it is none
+            self.open = [(t, False, c, h) for t, _, c, h in self.open]
+            self.out = 0
         if not left and not self.out and (tag in CONTAINERS or tag in ("div", "section", "td") and names & INSIDE):
             if not container:
                 self.count += 1
                 container = self.count
-        self.open.append((tag, left, self.container))
+        self.open.append((tag, left, self.container, left and (tag in LEFT_OUT or hidden or bool(names & REPLIES))))
         self.out += left
         self.container = container
 
@@ -94,7 +99,7 @@ class Lines(HTMLParser):
 
     def close_to(self, i):
         while len(self.open) > i:
-            _, left, self.container = self.open.pop()
+            _, left, self.container, _ = self.open.pop()
             self.out -= left
 
     def handle_endtag(self, tag):

@@ -361,6 +361,7 @@ def test_mixing(spark):
     ("<main><header><h1>H</h1></header><p>text here<div id=comments><p>c</p></div><aside>s</aside><form>q</form></main>", "H\ntext here"),
     ("<body><div class='menu'>m</div><p>" + "long words " * 20 + "</p><p>" + "more of it " * 20 + "</p></body>", ("long words " * 20).strip() + "\n" + ("more of it " * 20).strip()),
     ("<article><p>a<ul><li>b<li>c</ul><table><tr><td>d<td>e</table></article><div class='comments'><article>no</article></div>", "a\nb\nc\nd\ne"),
+    ("<div class='page with-sidebar'><div class=nav>n</div><article>a b</article><div class='comments'><article>c</article></div></div>", "a b"),
     ("<article>x<!-- c --><p hidden>h</p><p class='cookie-notice'>n</p>y</article>", "x\ny"),
 ])
 def test_pages(html, text):
