@@ -58,10 +58,6 @@ def load(spark: SparkSession, root: str, cache: str | None):
     if cache:
         other = caches.read_units(spark, cache).where(~F.col("file").rlike(r"\.pyi?$"))
         units = units.unionByName(other)
-        units = units.drop("unit_ord").withColumn("_at", F.monotonically_increasing_id())
-        from plumbline.extract.tables import with_order
-
-        units = with_order(units, "_at").drop("_at")
     return stored(units), tokens, source
 
 

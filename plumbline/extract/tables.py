@@ -12,7 +12,7 @@ _UNIT = "id string, kind string, file string, start_line bigint, start_col bigin
 
 
 def python_units(files: DataFrame, cached_at: int = 0) -> DataFrame:
-    """Units of Python files (path, content). unit_ord: by path, then place in the file."""
+    """Units of Python files (path, content)."""
     ship(files.sparkSession)
 
     def run(batches):
@@ -29,11 +29,8 @@ def python_units(files: DataFrame, cached_at: int = 0) -> DataFrame:
 
 
 def with_order(units: DataFrame, at: str) -> DataFrame:
-    """unit_ord: rank of the file by path times 2^32, and place in it."""
-    from pyspark.sql import Window as W
-
-    files = units.select("source_path").distinct().withColumn("_f", F.row_number().over(W.orderBy("source_path")))
-    return units.join(files, "source_path").withColumn("unit_ord", F.col("_f").cast("bigint") * (1 << 32) + F.col(at)).drop("_f")
+    """unit_ord: a text that sorts by the path of the source file, then by place in it; no file has to be numbered."""
+    return units.withColumn("unit_ord", F.concat("source_path", F.lit("\u0001"), F.lpad(F.col(at).cast("string"), 20, "0")))
 
 
 def _arrow() -> pa.Schema:

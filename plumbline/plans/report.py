@@ -129,8 +129,9 @@ class Report:
         for m, (group, name) in where.items():
             if self.config.is_disabled(m) or m in ("line_cov", "uncov_branches") and self.covered is None:
                 continue
-            own = distribution.ranked(d.where(F.col("metric") == m), F.coalesce("raw", F.col("value").cast("double")))
-            e = entries(own, self.units, self.config, self.fans).join(own.select("id", "dist_rank"), "id").orderBy("dist_rank").drop("dist_rank")
+            own = d.where(F.col("metric") == m)
+            order = own.select("id", rows.worst(own).alias("worst"))
+            e = entries(own, self.units, self.config, self.fans).join(order, "id").orderBy("worst", "id").drop("worst")
             block = {"max": sums[m]["max"], "mean": sums[m]["mean"], "p90": sums[m]["p90"], "distribution": [r.asDict() for r in e.toLocalIterator()]}
             if m == "duplication_pct" and self.pct is not None:
                 block |= duplication.duplication_summary(self.pct, self.clones).first().asDict()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 SPAN = "start_line bigint, start_col bigint, end_line bigint, end_col bigint"
-#: One row for each code unit. unit_ord: place in the order of loading (path of the cache file, then place in it).
+#: One row for each code unit. unit_ord: place in the order of loading (path of the cache file, then place in it); a number or any other type that sorts so.
 UNITS = f"unit_ord bigint, id string, kind string, file string, {SPAN}, reads array<string>, writes array<string>, calls array<string>, tags array<string>, params bigint, branches bigint, max_scope_lines bigint, parent string, cognitive_complexity bigint, partial boolean, source_path string, cached_at bigint"
 EDGES = "src string, dst string, kind string"
 TOKENS = "file string, pos bigint, value string, line bigint, col bigint"

@@ -67,3 +67,16 @@ def test_scope_closes_over_parents(spark):
     both = scope.union_changes(changed, spark.createDataFrame([("a.rs",), ("b.rs",)], "file string"))
     assert {r["id"] for r in scope.changed_units(u, both).collect()} == {"S", "S::m", "S::n", "b"}
     assert scope.describe("uncommitted", 1, 2) == "uncommitted changes (1 unit in 2 files)"
+
+
+def test_stream(spark, tmp_path):
+    import json
+
+    from plumbline.streaming.watch import lines_by_file, unit_stream
+
+    unit = lambda i, end: {"id": i, "kind": "Function", "file": "a.rs", "span": {"start_line": 1, "start_col": 0, "end_line": end, "end_col": 0}, "reads": [], "writes": [], "calls": [], "tags": []}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.rs.json").write_text(json.dumps({"source_path": "a.rs", "cached_at": 3, "units": [unit("x", 9), unit("y", 20)]}))
+    q = lines_by_file(unit_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("watched").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    assert [tuple(r) for r in spark.table("watched").collect()] == [("a.rs", 3, 20, 2)]
