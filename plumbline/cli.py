@@ -11,8 +11,8 @@ import time
 from pyspark.sql import SparkSession, functions as F
 
 from plumbline.config import IGNORABLE, METRICS
-from plumbline.extract.tables import python_units, tokenize
-from plumbline.functions.names import in_path
+from plumbline.extract.tables import READERS, source_units, tokenize
+from plumbline.functions.names import in_path, language
 from plumbline.plans import report
 from plumbline.sinks.writers import Timing, listing
 from plumbline.sources import caches, files, git, lcov
@@ -50,13 +50,13 @@ def parser() -> argparse.ArgumentParser:
 
 
 def load(spark: SparkSession, root: str, cache: str | None):
-    """Units and tokens of the project: Python from its source, other languages from a cache."""
+    """Units and tokens of the project: Python and TypeScript from source, other languages from a cache."""
     paths = [p for lang in files.EXTENSIONS for p in files.sources(root, lang)]
     source = files.read(spark, root, paths)
-    units = python_units(source, int(time.time()))
+    units = source_units(source, int(time.time()))
     tokens = tokenize(source)
     if cache:
-        other = caches.read_units(spark, cache).where(~F.col("file").rlike(r"\.pyi?$"))
+        other = caches.read_units(spark, cache).where(~F.coalesce(language("file").isin(*READERS), F.lit(False)))
         units = units.unionByName(other)
     return stored(units), tokens, source
 

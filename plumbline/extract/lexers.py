@@ -29,6 +29,11 @@ class Lexer:
 
     def tokens(self, source: str) -> Iterator[tuple[str, int, int]]:
         """(value, line from 1, column from 0)."""
+        for kind, text, line, col in self.raw(source):
+            yield (LITERAL if kind == "literal" else text if kind != "word" or text in self.keywords else NAME), line, col
+
+    def raw(self, source: str) -> Iterator[tuple[str, str, int, int]]:
+        """(literal, word or operator; text; line; column)."""
         at, line, start, ignoring = 0, 1, 0, False
         n = len(source)
         while at < n:
@@ -48,12 +53,12 @@ class Lexer:
                     ignoring = True
                 elif _END.search(text):
                     ignoring = False
-            elif kind == "word":
-                yield text if text in self.keywords else NAME, line, at - start
-            elif kind in ("literal", "template"):
-                yield LITERAL, line, at - start
+            elif kind in ("word", "literal"):
+                yield kind, text, line, at - start
+            elif kind == "template":
+                yield "literal", text, line, at - start
             elif kind in ("operator", "other", "verbatim"):
-                yield text, line, at - start
+                yield "operator", text, line, at - start
             counted = text if self.counts_escaped or kind != "literal" else re.sub(r"\\.", "  ", text, flags=re.S)
             at += len(text)
             if kind == "newline":

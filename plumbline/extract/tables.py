@@ -11,23 +11,32 @@ from plumbline.ship import ship
 _UNIT = "id string, kind string, file string, start_line bigint, start_col bigint, end_line bigint, end_col bigint, reads array<string>, writes array<string>, calls array<string>, tags array<string>, params bigint, branches bigint, max_scope_lines bigint, parent string, cognitive_complexity bigint, partial boolean"
 
 
-def python_units(files: DataFrame, cached_at: int = 0) -> DataFrame:
-    """Units of Python files (path, content)."""
+#: Languages whose units are read from source here, and the module that does.
+READERS = {"python": "python_units", "typescript": "typescript_units"}
+
+
+def source_units(files: DataFrame, cached_at: int = 0) -> DataFrame:
+    """Units of source files (path, content) in the languages of READERS."""
     ship(files.sparkSession)
 
     def run(batches):
-        from plumbline.extract.python_units import units
+        from importlib import import_module
 
+        readers = {k: import_module(f"plumbline.extract.{m}").units for k, m in READERS.items()}
         for batch in batches:
-            rows = [u | {"at": i} for p, c in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True) for i, u in enumerate(units(c or "", p))]
+            rows = [u | {"at": i} for p, c, k in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True) for i, u in enumerate(readers[k](c or "", p))]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_arrow())
 
-    source = files.where(language("path") == "python").select("path", "content")
+    source = files.select("path", "content", language("path").alias("lang")).where(F.col("lang").isin(*READERS))
     found = source.mapInArrow(run, f"{_UNIT}, at bigint")
     return with_order(found.withColumn("source_path", F.col("file")), "at").drop("at").withColumn("cached_at", F.lit(cached_at).cast("bigint"))
 
 
+def python_units(files: DataFrame, cached_at: int = 0) -> DataFrame:
+    return source_units(files.where(language("path") == "python"), cached_at)
+
+
 def with_order(units: DataFrame, at: str) -> DataFrame:
     """unit_ord: a text that sorts by the path of the source file, then by place in it; no file has to be numbered."""
     return units.withColumn("unit_ord", F.concat("source_path", F.lit("\u0001"), F.lpad(F.col(at).cast("string"), 20, "0")))
