@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def load(spark: SparkSession, root: str, cache: str | None):
-    """Units and tokens of the project: Python and TypeScript from source, other languages from a cache."""
+    """Units and tokens of the project: Python, TypeScript and Go from source, other languages from a cache."""
     paths = [p for lang in files.EXTENSIONS for p in files.sources(root, lang)]
     source = files.read(spark, root, paths)
     units = source_units(source, int(time.time()))

@@ -12,7 +12,7 @@ _UNIT = "id string, kind string, file string, start_line bigint, start_col bigin
 
 
 #: Languages whose units are read from source here, and the module that does.
-READERS = {"python": "python_units", "typescript": "typescript_units"}
+READERS = {"python": "python_units", "typescript": "typescript_units", "go": "go_units"}
 
 
 def source_units(files: DataFrame, cached_at: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from .lexers import TYPESCRIPT
+from .lexers import TYPESCRIPT, Lexer
 
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 LOOPS = ("for", "while", "do")
@@ -23,12 +23,14 @@ NOT_TERNARY = frozenset(") , : = ; ] }".split())
 
 
 class Source:
-    def __init__(self, text: str, path: str):
+    """Tokens with their places, matched brackets, and what is measured on a range of them."""
+
+    def __init__(self, text: str, path: str, lexer: Lexer = TYPESCRIPT):
         self.path = path
         self.t: list[str] = []
         self.kind: list[str] = []
         self.at: list[tuple[int, int, int, int]] = []
-        for kind, tok, line, col in TYPESCRIPT.raw(text):
+        for kind, tok, line, col in lexer.raw(text):
             rows = tok.count("\n")
             self.t.append(tok)
             self.kind.append(kind)

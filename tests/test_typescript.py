@@ -69,5 +69,5 @@ def test_values(source, name):
 
 
 def test_table(spark):
-    files = spark.createDataFrame([("a.ts", SOURCE), ("b.py", "def f(): pass"), ("c.go", "x"), ("d.js", "function f( {")], "path string, content string")
+    files = spark.createDataFrame([("a.ts", SOURCE), ("b.py", "def f(): pass"), ("c.rs", "x"), ("d.js", "function f( {")], "path string, content string")
     assert {r["id"] for r in source_units(files).where("file <> 'a.ts'").collect()} == {"b::f"} and source_units(files).count() == 10
