@@ -50,10 +50,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def load(spark: SparkSession, root: str, cache: str | None):
-    """Units and tokens of the project: Python, TypeScript and Go from source, other languages from a cache."""
+    """Units and tokens of the project, from its source; a cache adds those of other languages."""
     paths = [p for lang in files.EXTENSIONS for p in files.sources(root, lang)]
     source = files.read(spark, root, paths)
-    units = source_units(source, int(time.time()))
+    units = source_units(source, int(time.time()), files.rust_crates(root))
     tokens = tokenize(source)
     if cache:
         other = caches.read_units(spark, cache).where(~F.coalesce(language("file").isin(*READERS), F.lit(False)))

@@ -12,11 +12,11 @@ _UNIT = "id string, kind string, file string, start_line bigint, start_col bigin
 
 
 #: Languages whose units are read from source here, and the module that does.
-READERS = {"python": "python_units", "typescript": "typescript_units", "go": "go_units"}
+READERS = {"python": "python_units", "typescript": "typescript_units", "go": "go_units", "rust": "rust_units"}
 
 
-def source_units(files: DataFrame, cached_at: int = 0) -> DataFrame:
-    """Units of source files (path, content) in the languages of READERS."""
+def source_units(files: DataFrame, cached_at: int = 0, crates: dict[str, str] | None = None) -> DataFrame:
+    """Units of source files (path, content) in the languages of READERS. crates: Rust packages by folder."""
     ship(files.sparkSession)
 
     def run(batches):
@@ -24,13 +24,14 @@ def source_units(files: DataFrame, cached_at: int = 0) -> DataFrame:
 
         readers = {k: import_module(f"plumbline.extract.{m}").units for k, m in READERS.items()}
         for batch in batches:
-            rows = [u | {"at": i} for p, c, k in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True) for i, u in enumerate(readers[k](c or "", p))]
+            rows = [u | {"at": i} for p, c, k in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True) for i, u in enumerate(readers[k](c or "", p, *[crates] * (k == "rust")))]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_arrow())
 
     source = files.select("path", "content", language("path").alias("lang")).where(F.col("lang").isin(*READERS))
     found = source.mapInArrow(run, f"{_UNIT}, at bigint")
-    return with_order(found.withColumn("source_path", F.col("file")), "at").drop("at").withColumn("cached_at", F.lit(cached_at).cast("bigint"))
+    found = with_order(found.withColumn("source_path", F.col("file")), "at").drop("at").withColumn("cached_at", F.lit(cached_at).cast("bigint"))
+    return qualify_test_crates(found)
 
 
 def python_units(files: DataFrame, cached_at: int = 0) -> DataFrame:
@@ -71,7 +72,7 @@ def tokenize(files: DataFrame) -> DataFrame:
 
 def qualify_test_crates(units: DataFrame) -> DataFrame:
     """Ids, parents and calls of Rust tests, benches and examples, which are crates of their own, start with package and kind."""
-    path = r"([^/]+)/(tests|benches|examples)/([^/]+)\.[^./]+$"
+    path = r"([^/]+)/(tests|benches|examples)/([^/]+)\.rs$"
     package = F.replace(F.regexp_extract("source_path", path, 1), F.lit("-"), F.lit("_"))
     prefix = F.concat(package, F.lit("::"), F.regexp_extract("source_path", path, 2), F.lit("::"))
     stem = F.regexp_extract("source_path", path, 3)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import subprocess
+import tomllib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,6 +34,18 @@ def is_source_path(path: str) -> bool:
     return language_of(path) is not None
 
 
+def rust_crates(root: str) -> dict[str, str]:
+    """Names of Cargo packages by folder."""
+    found = {}
+    for p in walk(root):
+        if p.rpartition("/")[2] == "Cargo.toml":
+            with open(os.path.join(root, p), "rb") as f, contextlib.suppress(tomllib.TOMLDecodeError):
+                name = (tomllib.load(f).get("package") or {}).get("name")
+                if name:
+                    found[p.rpartition("/")[0]] = name
+    return found
+
+
 def is_generated_go(path: str, content: str) -> bool:
     head = content.split("\npackage ", 1)[0]
     return path.endswith((".pb.go", "_gen.go")) or any(line.startswith("// Code generated ") and line.rstrip().endswith("DO NOT EDIT.") for line in head.splitlines())

@@ -69,5 +69,6 @@ def test_values(source, name):
 
 
 def test_table(spark):
-    files = spark.createDataFrame([("a.ts", SOURCE), ("b.py", "def f(): pass"), ("c.rs", "x"), ("d.js", "function f( {")], "path string, content string")
-    assert {r["id"] for r in source_units(files).where("file <> 'a.ts'").collect()} == {"b::f"} and source_units(files).count() == 10
+    files = spark.createDataFrame([("a.ts", SOURCE), ("b.py", "def f(): pass"), ("k/tests/c.rs", "fn r() { c::s() }"), ("m.c", "x"), ("d.js", "function f( {")], "path string, content string")
+    assert {r["id"] for r in source_units(files).where("file <> 'a.ts'").collect()} == {"b::f", "k::tests::c::r"} and source_units(files).count() == 11
+    assert source_units(files).where("file = 'k/tests/c.rs'").first()["calls"] == ["k::tests::c::s"]
