@@ -230,6 +230,40 @@ def test_passages_against_brute_force(spark):
     assert substrings.repeated_passages(d.limit(0)).count() == 0
 
 
+def equal_words(docs, n=50):
+    """Words of each text in runs of n words that another text holds."""
+    own = collections.defaultdict(set)
+    for i, t in docs:
+        w = split(t)
+        for j in range(len(w) - n + 1):
+            own[tuple(w[j : j + n])].add(i)
+    out = {}
+    for i, t in docs:
+        w, out[i] = split(t), set()
+        for j in range(len(w) - n + 1):
+            if len(own[tuple(w[j : j + n])]) > 1:
+                out[i].update(range(j, j + n))
+    return out
+
+
+def test_passages_of_frequent_lines_and_nested_ones(spark):
+    rng = random.Random(12)
+    lines = [prose(rng, 12) for _ in range(30)]
+    docs = [(i, " ".join(f"{prose(rng, 40)} {x}" for x in rng.sample(lines, 12))) for i in range(60)]
+    for i in range(60, 90, 2):
+        # what two texts alone share is made of lines that stand in many others
+        shared = " ".join(rng.sample(lines, 5))
+        docs += [(j, f"{prose(rng, 30)} {shared} {prose(rng, 30)}") for j in (i, i + 1)]
+    long = prose(rng, 160).split()
+    docs += [(100 + k, f"{prose(rng, 20)} {' '.join(long[k * 7 : 160 - k * 6])} {prose(rng, 20)}") for k in range(8)]
+    hit = equal_words(docs)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = substrings.repeated_passages(d).collect()
+    got = {r["doc_id"]: {w for x in [*r["spans"], *r["first_spans"]] for w in range(x >> 31, x & 0x7FFFFFFF)} for r in rows}
+    assert [i for i, _ in docs if not hit[i] <= got[i]] == []
+    assert all(len(hit[i]) >= 50 for i in range(60, 90))
+
+
 def test_near_duplicate_passage(spark):
     rng = random.Random(8)
     w = prose(rng, 150).split()
