@@ -275,6 +275,12 @@ def test_near_duplicate_passage(spark):
     assert min(both) >= 145 and got[3]["sources"] == []
 
 
+def test_agreeing_windows_at_many_shifts():
+    w = lambda shift, lo, f: (shift, lo, lo + 60, lo - shift, lo + 60 - shift, f)
+    others = [w(100 * k, 10 + k % 3, 0) for k in range(1, 9)]
+    assert (10, 72, 10, 72) in substrings.together([w(0, 10, 0), *others, w(0, 12, 1)])
+
+
 def test_compact_windows_hold_the_least_hash():
     rng = np.random.default_rng(9)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
