@@ -278,7 +278,53 @@ def test_near_duplicate_passage(spark):
 def test_agreeing_windows_at_many_shifts():
     w = lambda shift, lo, f: (shift, lo, lo + 60, lo - shift, lo + 60 - shift, f)
     others = [w(100 * k, 10 + k % 3, 0) for k in range(1, 9)]
-    assert (10, 72, 10, 72) in substrings.together([w(0, 10, 0), *others, w(0, 12, 1)])
+    assert (10, 72, 10, 72) in [x[:4] for x in substrings.together([w(0, 10, 0), *others, w(0, 12, 1)])]
+
+
+def test_near_duplicate_passage_after_repeated_lines(spark):
+    rng = random.Random(13)
+    docs = []
+    for i in range(0, 40, 2):
+        lines = [prose(rng, 10) for _ in range(6)]
+        passage = " ".join(lines).split()
+        # the lines of the passage stand alone too, before it and after it, in either text
+        before, after = (" ".join(f"{x} {prose(rng, 14)}" for x in lines for _ in range(3)) for _ in range(2))
+        docs += [(i, f"{before} {' '.join(passage)} {prose(rng, 60)}"), (i + 1, f"{prose(rng, 60)} {' '.join([*passage[:30], 'changed', *passage[31:]])} {after}")]
+    got = {r["doc_id"]: r for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [i for i, _ in docs if str(i ^ 1) not in map(str, got[i]["sources"]) and not got[i]["first_spans"]] == []
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_recall_of_passages_at_the_threshold(spark):
+    rng = random.Random(14)
+    docs, n = [], 300
+    for i in range(0, 2 * n, 2):
+        w = prose(rng, rng.randint(50, 60)).split()
+        while True:
+            v, at = list(w), rng.randrange(len(w))
+            if rng.random() < 0.5:
+                v[at] = "changed"
+            else:
+                v[at:at] = prose(rng, rng.randint(1, 10)).split()
+            if 0.8 <= jaccard(w, v) < 0.9:
+                break
+        docs += [(j, f"{prose(rng, 40)} {' '.join(t)} {prose(rng, 40)}") for j, t in ((i, w), (i + 1, v))]
+    got = {r["doc_id"]: r for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = sum(bool(got[i]["spans"] or got[i]["first_spans"]) for i in range(0, 2 * n, 2))
+    print("found", found, "of", n)
+    assert found >= 0.98 * n
+
+
+def test_passage_with_words_put_in():
+    x = np.arange(1000, 1046 + 44, dtype=np.uint32)
+    y = np.concatenate([x[:45], np.arange(13, dtype=np.uint32), x[45:]])
+    assert substrings.aligned(x, y, [0]) == [(0, 89, 0, 102)]
+    assert substrings.aligned(x, np.concatenate([x[:45], np.arange(30, dtype=np.uint32), x[45:]]), [0, -30]) == [(0, 44, 0, 44), (45, 89, 75, 119)]
+    assert substrings.aligned(x[:40], y[:40], [0]) == []
 
 
 def test_compact_windows_hold_the_least_hash():
