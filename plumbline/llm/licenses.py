@@ -1,4 +1,4 @@
-"""License scans: a positional index of licence words, looked up by the rarest words of each file."""
+"""License scans: a positional index of licence words, looked up by the rarest words of each notice."""
 
 from __future__ import annotations
 
@@ -41,8 +41,8 @@ TEMPLATES = (
     ("cc-by-nd", "Licensed under CC BY-ND 4.0.", ("cc by nd",)),
     ("cc-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative commons attribution",)),
 )
-#: How many of a file's rarest licence words are looked up, and the share of a notice's words that must stand in place.
-RAREST, SHARE = 24, 0.6
+#: Words of a notice that must be looked up in place before it is aligned, and the share of its words that must stand there.
+VOTES, SHARE = 3, 0.6
 
 
 def split(text: str | None) -> list[str]:
@@ -50,23 +50,28 @@ def split(text: str | None) -> list[str]:
 
 
 class Index:
-    """Postings of the licence words: word -> (template, position). Phrases are found from their rarest word."""
+    """Postings of the rarest words of each notice: word -> (template, position). Phrases are found from their rarest word.
+
+    A notice has so many postings that VOTES of them are in place wherever SHARE of its words are.
+    """
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES, idf: dict[str, float] | None = None):
         self.labels = [t[0] for t in templates]
         self.words = [split(t[1]) for t in templates]
         self.keys = [[split(k) for k in t[2]] for t in templates]
         self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for t, ws in enumerate(self.words):
-            for i, w in enumerate(ws):
-                self.postings[w].append((t, i))
         self.idf = idf or {}
+        for t, ws in enumerate(self.words):
+            missing = len(ws) - math.ceil(SHARE * len(ws) - 1e-9)
+            for i in sorted(range(len(ws)), key=lambda i: (-self.idf.get(ws[i], 0.0), i))[: missing + VOTES]:
+                self.postings[ws[i]].append((t, i))
+        self.needed = [frozenset(w for k in ks for w in k) for ks in self.keys]
         self.anchors: dict[str, list[tuple[list[str], int, str]]] = defaultdict(list)
         for p, label in phrases.items():
             ws = split(p)
             at = max(range(len(ws)), key=lambda i: (self.idf.get(ws[i], 0.0), -i))
             self.anchors[ws[at]].append((ws, at, label))
-        self.vocabulary = frozenset(self.postings) | frozenset(w for p in phrases for w in split(p))
+        self.vocabulary = frozenset(w for ws in self.words for w in ws) | frozenset(w for p in phrases for w in split(p))
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, list[str], list[str], float]:
         ws = split(text)
@@ -84,15 +89,16 @@ class Index:
                     base.add(label)
                     starts += found
         labels, best = set(base), 1.0 if base else 0.0
-        rare = sorted((w for w in where if w in self.postings), key=lambda w: (-self.idf.get(w, 0.0), w))[:RAREST]
+        likely = [need <= where.keys() for need in self.needed]
         votes: Counter = Counter()
-        for w in rare:
-            for i in where[w]:
-                for t, p in self.postings[w]:
-                    votes[t, i - p] += 1
+        for w in where.keys() & self.postings.keys() if any(likely) else ():
+            for t, p in self.postings[w]:
+                if likely[t]:
+                    for i in where[w]:
+                        votes[t, i - p] += 1
         for (t, s), n in votes.items():
             own = self.words[t]
-            if n < min(3, len(own)) or s < 0:
+            if n < min(VOTES, len(own)) or s < 0:
                 continue
             share = sum(a == b for a, b in zip(own, ws[s : s + len(own)], strict=False)) / len(own)
             if share >= SHARE and all(_has(ws[max(0, s - 2) : s + len(own) + 2], k) for k in self.keys[t]):

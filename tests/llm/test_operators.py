@@ -111,6 +111,14 @@ def test_licenses(spark):
     assert licenses.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_every_notice_of_a_file_is_found():
+    every = " x ".join(t[1] for t in licenses.TEMPLATES)
+    idf = {w: -float(split(every).count(w)) for w in split(every)}
+    assert set(licenses.Index(idf=idf).scan(every)[5]) >= {t[0] for t in licenses.TEMPLATES}
+    for t in licenses.TEMPLATES:
+        assert {"mit", t[0]} <= set(licenses.Index(idf=idf).scan(licenses.TEMPLATES[2][1] + ". " + t[1])[5])
+
+
 def test_license_phrases_against_brute_force(spark):
     rng = random.Random(4)
     vocabulary = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x"]
