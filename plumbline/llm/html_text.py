@@ -113,6 +113,12 @@ class Lines(HTMLParser):
             if self.open[i][0] in ("article", "main", "body", "table") and tag in ("p", "li", "b", "i", "a", "span", "td", "tr"):
                 return
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no known name: a comment up to the next >
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         if not self.out:
             self.text.append(data)
