@@ -154,9 +154,6 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     high = ratio >= share * ratio.mean()
     kept = {c for (_, _, c), h in zip(p.lines, high, strict=True) if h and c}
     if kept:
-        # a page with several containers: those of the main region, by their text
-        size = {c: sum(len(t) for t, _, x in p.lines if x == c) for c in kept}
-        kept = {c for c in kept if size[c] * 10 >= max(size.values())}
         return "\n".join(t for t, _, c in p.lines if c in kept)
     spots = np.flatnonzero(high)
     return "\n".join(t for (t, _, _), h in zip(p.lines[spots[0] : spots[-1] + 1], high[spots[0] : spots[-1] + 1], strict=True) if h or len(t) < 200)

@@ -457,6 +457,7 @@ def test_mixing(spark):
     ("<article><p>a<ul><li>b<li>c</ul><table><tr><td>d<td>e</table></article><div class='comments'><article>no</article></div>", "a\nb\nc\nd\ne"),
     ("<div class='page with-sidebar'><div class=nav>n</div><article>a b</article><div class='comments'><article>c</article></div></div>", "a b"),
     ("<article><p>one</p><![ if IE]><p>two</p><![x[ ]]><p>three</p><![endif]></article>", "one\ntwo\nthree"),
+    ("<div class='story-intro'>" + "intro words " * 12 + "</div><div class='story-body'><p>" + "</p><p>".join(["body words " * 20] * 15) + "</p></div>", ("intro words " * 12).strip() + ("\n" + ("body words " * 20).strip()) * 15),
     ("<article>x<!-- c --><p hidden>h</p><p class='cookie-notice'>n</p>y</article>", "x\ny"),
 ])
 def test_pages(html, text):
