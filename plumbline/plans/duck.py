@@ -59,6 +59,23 @@ SELECT id, call, file, crate, {name} FROM (
 """
 
 
+def _looked(dist: str) -> str:
+    """A distribution with the rank of each value and what rows look up: cyclomatic and cognitive complexity and fans."""
+    return f"""
+SELECT d.metric, d.id, d.value, dist_rank, coalesce(cy.value, 0) AS cyc, coalesce(co.value, 0) AS cog, coalesce(f.fan_in, 0) AS fan_in, coalesce(f.fan_out, 0) AS fan_out
+FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'line_cov' THEN raw ELSE -raw END, id) AS dist_rank FROM {{{dist}}}) d
+LEFT JOIN (SELECT id, value FROM {{x_complexity}} WHERE metric = 'cyclomatic') cy ON cy.id = d.id
+LEFT JOIN (SELECT id, value FROM {{x_complexity}} WHERE metric = 'cognitive') co ON co.id = d.id
+LEFT JOIN {{x_fan}} f ON f.id = d.id"""
+
+
+def _scored(looked: str) -> str:
+    return f"""
+SELECT metric, id AS symbol, CASE WHEN metric = 'line_cov' THEN value || '%' ELSE CAST(value AS VARCHAR) END AS value, {_bucket(_level())} AS bucket, {_level()} AS severity, {_place(COLLECTED)} AS collect_ord, dist_rank,
+       (metric IN ('fan_out', 'params') AND cyc < 20 AND cog < 15) OR (metric = 'cyclomatic' AND cog < 15) OR (metric = 'fan_in' AND NOT (fan_in >= 10 AND fan_out >= 3)) AS hidden
+FROM {{{looked}}} WHERE NOT CASE metric WHEN 'line_cov' THEN value >= 100 WHEN 'cognitive' THEN value <= 1 WHEN 'cyclomatic' THEN value <= 1 WHEN 'function_size' THEN value <= 1 AND fan_in <> 1 WHEN 'fan_in' THEN false ELSE value <= 0 END"""
+
+
 FRAGMENTS = DUCK | {
     "x_units": """
 SELECT unit_key AS unit_ord, id, 'Method' AS kind, file, start_line, end_line, params, branches, cognitive_complexity, max_scope_lines, parent FROM {a_methods}
@@ -121,11 +138,13 @@ SELECT u.id, coalesce(total, 0) AS total, coalesce(hit, 0) AS hit, CASE WHEN tot
 FROM (SELECT DISTINCT id FROM {c_units}) u
 LEFT JOIN (SELECT owner AS id, count(*) AS total, count(*) FILTER (hits > 0) AS hit FROM {c_lines} JOIN {x_owner} USING (file, line) GROUP BY owner) l USING (id)
 LEFT JOIN (SELECT owner AS id, count(*) FILTER (taken = 0) AS uncov FROM {c_branches} JOIN {x_owner} USING (file, line) GROUP BY owner) b USING (id)""",
+    "x_code_dist": "SELECT metric, id, value, CAST(value AS DOUBLE) AS raw FROM {x_complexity} UNION ALL SELECT 'fan_in', id, fan_in, fan_in FROM {x_fan} UNION ALL SELECT 'fan_out', id, fan_out, fan_out FROM {x_fan}",
+    "x_code_looked": _looked("x_code_dist"),
+    "x_code_scored": _scored("x_code_looked"),
+    "x_code_rows": "SELECT metric, symbol, value, bucket, severity, collect_ord, dist_rank FROM {x_code_scored} WHERE NOT hidden",
     "x_dist": " UNION ALL ".join(
         [
-            "SELECT metric, id, value, CAST(value AS DOUBLE) AS raw FROM {x_complexity}",
-            "SELECT 'fan_in', id, fan_in, fan_in FROM {x_fan}",
-            "SELECT 'fan_out', id, fan_out, fan_out FROM {x_fan}",
+            "SELECT metric, id, value, raw FROM {x_code_dist}",
             "SELECT 'methods_per_struct', id, value, value FROM {x_mps}",
             "SELECT 'lcom', id, value, value FROM {x_lcom}",
             "SELECT 'file_loc', id, value, value FROM {x_loc}",
@@ -134,16 +153,8 @@ LEFT JOIN (SELECT owner AS id, count(*) FILTER (taken = 0) AS uncov FROM {c_bran
             "SELECT 'uncov_branches', id, uncov_branches, uncov_branches FROM {x_cov}",
         ]
     ),
-    "x_looked": f"""
-SELECT d.metric, d.id, d.value, dist_rank, coalesce(cy.value, 0) AS cyc, coalesce(co.value, 0) AS cog, coalesce(f.fan_in, 0) AS fan_in, coalesce(f.fan_out, 0) AS fan_out
-FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'line_cov' THEN raw ELSE -raw END, id) AS dist_rank FROM {{x_dist}}) d
-LEFT JOIN (SELECT id, value FROM {{x_dist}} WHERE metric = 'cyclomatic') cy ON cy.id = d.id
-LEFT JOIN (SELECT id, value FROM {{x_dist}} WHERE metric = 'cognitive') co ON co.id = d.id
-LEFT JOIN {{x_fan}} f ON f.id = d.id""",
-    "x_scored": f"""
-SELECT metric, id AS symbol, CASE WHEN metric = 'line_cov' THEN value || '%' ELSE CAST(value AS VARCHAR) END AS value, {_bucket(_level())} AS bucket, {_level()} AS severity, {_place(COLLECTED)} AS collect_ord, dist_rank,
-       (metric IN ('fan_out', 'params') AND cyc < 20 AND cog < 15) OR (metric = 'cyclomatic' AND cog < 15) OR (metric = 'fan_in' AND NOT (fan_in >= 10 AND fan_out >= 3)) AS hidden
-FROM {{x_looked}} WHERE NOT CASE metric WHEN 'line_cov' THEN value >= 100 WHEN 'cognitive' THEN value <= 1 WHEN 'cyclomatic' THEN value <= 1 WHEN 'function_size' THEN value <= 1 AND fan_in <> 1 WHEN 'fan_in' THEN false ELSE value <= 0 END""",
+    "x_looked": _looked("x_dist"),
+    "x_scored": _scored("x_looked"),
     "x_rows": "SELECT metric, symbol, value, bucket, severity, collect_ord, dist_rank FROM {x_scored} WHERE NOT hidden",
     "x_ignored": "SELECT concat('crate', c_nationkey, '::cust::C', c_custkey) AS symbol, CASE c_custkey % 2 WHEN 0 THEN 'lcom' ELSE 'methods_per_struct' END AS metric FROM customer WHERE c_custkey % 5 = 0",
     "x_changed": "SELECT DISTINCT u.id, u.file, u.parent FROM {x_units} u JOIN {d_changed} c ON c.file = u.file AND c.start_line <= u.end_line AND u.start_line <= c.end_line",
@@ -183,7 +194,7 @@ def catalog_sql() -> str:
     return f"SELECT * FROM (VALUES {', '.join(map(row, METRICS))}) AS c(metric, worse, excellent, good, fair, poor, disabled)"
 
 
-_rows = "SELECT metric, symbol, value, bucket, severity FROM {x_rows}"
+_rows, _code_rows = (f"SELECT metric, symbol, value, bucket, severity FROM {{{t}}}" for t in ("x_rows", "x_code_rows"))
 ORACLES = {
     "units_complexity_long": sql("SELECT metric, id, value FROM {x_complexity}"),
     "distribution_summary": sql(_summary("{x_complexity}", ("function_size", "params", "cyclomatic", "cognitive", "max_scope"))),
@@ -227,10 +238,10 @@ FROM (SELECT pct, row_number() OVER (ORDER BY pct) AS rn, count(*) OVER () AS n
     "changed_units": sql("SELECT id, file FROM {x_changed}"),
     "scope_closure": sql("SELECT id FROM {x_scope}"),
     "scoped_summary": sql(_summary("{x_scoped}", SCOPED)),
-    "delegator_rows": sql(_rows + " WHERE metric = 'fan_out'"),
-    "dispatcher_rows": sql(_rows + " WHERE metric = 'cyclomatic'"),
-    "wide_signature_rows": sql(_rows + " WHERE metric = 'params'"),
-    "hub_rows": sql("SELECT metric, symbol, value, bucket, severity FROM {x_scored} WHERE metric = 'fan_in' AND CAST(value AS BIGINT) >= 10"),
+    "delegator_rows": sql(_code_rows + " WHERE metric = 'fan_out'"),
+    "dispatcher_rows": sql(_code_rows + " WHERE metric = 'cyclomatic'"),
+    "wide_signature_rows": sql(_code_rows + " WHERE metric = 'params'"),
+    "hub_rows": sql("SELECT metric, symbol, value, bucket, severity FROM {x_code_scored} WHERE metric = 'fan_in' AND CAST(value AS BIGINT) >= 10"),
     "ignores_filtered": sql(_rows + " r WHERE metric IN ('lcom', 'methods_per_struct') AND NOT EXISTS (SELECT 1 FROM {x_ignored} i WHERE i.symbol = r.symbol AND i.metric = r.metric)"),
     "disabled_pruned": sql(_rows + " WHERE metric NOT IN ('cyclomatic', 'file_loc', 'duplication_pct')"),
     "metric_rows_all": sql(_rows),
@@ -239,7 +250,7 @@ SELECT metric, symbol, value, bucket, row_number() OVER (ORDER BY {_place(SHOWN)
 FROM (SELECT * FROM {{x_rows}} ORDER BY severity DESC, collect_ord, dist_rank LIMIT 10)"""),
     "flagship_topk": sql(f"""
 SELECT metric, symbol, value, bucket, row_number() OVER (ORDER BY {_place(SHOWN)}, severity DESC, collect_ord, dist_rank) AS shown_ord
-FROM (SELECT * FROM {{x_rows}} WHERE metric IN ('params', 'cyclomatic', 'cognitive', 'max_scope', 'function_size', 'fan_in', 'fan_out') ORDER BY severity DESC, collect_ord, dist_rank LIMIT 10)"""),
+FROM (SELECT * FROM {{x_code_rows}} ORDER BY severity DESC, collect_ord, dist_rank LIMIT 10)"""),
     "symbol_rows": sql("SELECT metric, symbol, value, bucket, severity FROM {x_scored} WHERE symbol = (SELECT max(id) FROM {a_methods})"),
     "symbol_values": sql(f"SELECT metric, value, {_bucket(_level())} AS bucket FROM {{x_looked}} WHERE id = (SELECT max(id) FROM {{a_methods}})"),
     "symbol_source": "SELECT 'doc' || doc_id AS file, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS source FROM documents WHERE len(string_split(text, chr(10))) >= 2",
