@@ -1,5 +1,5 @@
 """Intermediate tables of this package's operators."""
 
-from plumbline.store import shared_dir, stored
+from plumbline.store import release, shared_dir, stored
 
-__all__ = ["shared_dir", "stored"]
+__all__ = ["release", "shared_dir", "stored"]
