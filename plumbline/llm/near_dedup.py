@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from plumbline.ship import ship
 
 from ._components import components
+from ._contents import content_hashes, keys_repeat, marked
 from ._store import stored
 from ._text import ALNUM, grams, mix, slices, words
 
@@ -18,11 +19,10 @@ from ._text import ALNUM, grams, mix, slices, words
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of samples: a pair at 0.8 shares one of the twelve with probability 0.998.
 BANDS, ROWS = 12, 4
-#: Shingles are hashed to so many classes, whose document frequencies are counted over all documents: the table has this size at any size of the corpus.
-CLASSES = 1 << 18
+#: A shingle is frequent if it makes up one in FREQUENT of all pairs of a document and a shingle, so there are FREQUENT at most; their document frequency is exact, rarer ones count as this frequent. CLASSES of hashes, summed first, tell which may be frequent, SEGMENT of them in a row.
+FREQUENT, CLASSES, SEGMENT = 1 << 18, 1 << 20, 1 << 12
 #: Leaders of a bucket in each round, and bytes of shingles of a block of what is left.
 LEADERS, BLOCK = (1, 4), 4_000_000
-_POOL = 1 << 16
 _BITS = np.uint64(47)
 
 
@@ -46,80 +46,160 @@ def shingle_sets(h: np.ndarray, upto: np.ndarray, raw: np.ndarray, off: np.ndarr
     return (key >> _BITS).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), tf
 
 
-def content_hashes(h: np.ndarray, upto: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of the sequence of words of each document; of its bytes, if it has no words."""
-    n = len(upto) - 1
-    place = np.arange(len(h), dtype=np.uint64) - np.repeat(upto[:-1], np.diff(upto)).astype(np.uint64)
-    out = np.empty((n, 2), np.int64)
-    for j, salt in enumerate((0x51, 0xA7)):
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(mix(h ^ mix(place * np.uint64(2) + np.uint64(salt))), out=total[1:])
-        out[:, j] = mix((total[upto[1:]] - total[upto[:-1]]) + np.diff(upto).astype(np.uint64)).view(np.int64)
-    for i in np.flatnonzero(np.diff(upto) == 0):
-        a = raw[off[i] : off[i + 1]].astype(np.uint64)
-        for j, salt in enumerate((0x51, 0xA7)):
-            out[i, j] = mix(np.array([mix((a + np.uint64(1)) * mix(np.arange(len(a), dtype=np.uint64) + np.uint64(salt))).sum() + np.uint64(salt)], np.uint64)).view(np.int64)[0]
-    return out
+def _gamma_quantiles(n: int) -> np.ndarray:
+    """Quantiles of Gamma(2, 1) at the middles of n equal parts, by bisection of 1 - (1 + x) exp(-x)."""
+    at, lo, hi = (np.arange(n) + 0.5) / n, np.zeros(n), np.full(n, 64.0)
+    for _ in range(60):
+        x = (lo + hi) / 2
+        below = 1 - (1 + x) * np.exp(-x) < at
+        lo, hi = np.where(below, x, lo), np.where(below, hi, x)
+    return x
 
 
 class Sampler:
-    """Improved consistent weighted sampling. The random numbers of a shingle, r and c of Gamma(2, 1) and beta uniform, come from a table at an index hashed anew for each sample."""
+    """Improved consistent weighted sampling.
+
+    The random numbers of a shingle in each sample come from a 64-bit hash of
+    both: r and c of Gamma(2, 1), c from two exponential numbers, and beta,
+    uniform. A document's sample is the shingle of the least a and its step.
+    """
 
     def __init__(self):
-        random = np.random.default_rng(20240607)
-        r, c = random.gamma(2, 1, _POOL), random.gamma(2, 1, _POOL)
-        self.r, self.beta = r.astype(np.float32), random.random(_POOL).astype(np.float32)
-        self.inverse, self.start = (1 / r).astype(np.float32), (np.log(c) - r).astype(np.float32)
-        self.times = random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        parts = 1 << 16
+        r = _gamma_quantiles(parts)
+        self.r, self.inverse = r.astype(np.float32), (1 / r).astype(np.float32)
+        self.exponential = -np.log((np.arange(parts) + 0.5) / parts).astype(np.float32)
+        self.times = np.random.default_rng(20240607).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def bands(self, shingle: np.ndarray, log_weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A hash for each document and band. The least ln a of a document tells its sample, shingle and step together."""
+        """A hash for each document and band."""
         x = mix(shingle.astype(np.uint64) + np.uint64(0x1234567))
-        least = np.empty((len(starts), BANDS * ROWS), np.uint32)
+        name = x.astype(np.uint32)
+        samples = np.empty((len(starts), BANDS * ROWS), np.uint32)
+        # the bits of a, which is positive, in the upper half, shingle and step in the lower
+        best = np.empty((len(x), 2), np.uint32)
         for k, m in enumerate(self.times):
-            i = (x * m) >> np.uint64(48)
-            r, beta = self.r[i], self.beta[i]
-            step = np.floor(log_weight * self.inverse[i] + beta)
+            z = x * m
+            z ^= z >> np.uint64(29)
+            z *= np.uint64(0xD6E8FEB86659FD93)
+            field = z.view(np.uint16).reshape(-1, 4)
+            i = field[:, 3]
+            r, beta = self.r[i], field[:, 2].astype(np.float32)
+            beta *= np.float32(1 / 65536)
+            step = self.inverse[i]
+            step *= log_weight
+            step += beta
+            np.floor(step, out=step)
+            np.multiply(step.astype(np.int32).view(np.uint32), np.uint32(0x9E3779B1), out=best[:, 0])
+            best[:, 0] += name
             step -= beta
-            step *= r
-            least[:, k] = np.minimum.reduceat(self.start[i] - step, starts).view(np.uint32)
+            step += np.float32(1)
+            step *= -r
+            a = np.exp(step, out=step)
+            a *= self.exponential[field[:, 1]] + self.exponential[field[:, 0]]
+            best[:, 1] = a.view(np.uint32)
+            samples[:, k] = np.minimum.reduceat(best.view(np.uint64)[:, 0], starts) & np.uint64(0xFFFFFFFF)
         out = np.empty((len(starts), BANDS), np.uint64)
         for b in range(BANDS):
             acc = np.full(len(starts), b + 1, np.uint64)
             for j in range(ROWS):
-                acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + least[:, b * ROWS + j])
+                acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + samples[:, b * ROWS + j])
             out[:, b] = acc
         return out.view(np.int64)
 
 
-def class_idf(docs: DataFrame, text: str) -> np.ndarray:
-    """Damped IDF of each class of shingles: 1 + ln((N + 1) / (df + 1)) / ln(CLASSES), 1 at least.
+class Idf:
+    """Damped IDF of shingles: 1 + ln((N + 1) / (df + 1)) / ln(FREQUENT), 1 at least.
 
-    df counts pairs of a document and one of its distinct shingles, over all
-    documents. Damping keeps shingles of large groups of copies within a factor
-    of about two of the others, so that an edit in a copy weighs no more there.
+    Damping keeps shingles of large groups of copies within a factor of about
+    two of the others, so that an edit in a copy weighs no more there. `floor`
+    is the least document frequency of a frequent shingle; at 1, and up to it
+    in small tables, every frequency is exact.
     """
+
+    def __init__(self, keys: np.ndarray, df: np.ndarray, n: int, floor: int):
+        self.keys = keys
+        weigh = lambda f: np.maximum(1, 1 + np.log((n + 1) / (f + 1)) / math.log(FREQUENT)).astype(np.float32)
+        self.weights, self.rare = weigh(df), weigh(np.array(float(floor)))
+        self.live = np.zeros(CLASSES, bool)
+        self.live[keys & np.uint32(CLASSES - 1)] = True
+
+    def of(self, shingle: np.ndarray) -> np.ndarray:
+        out = np.full(len(shingle), self.rare, np.float32)
+        at = np.flatnonzero(self.live[shingle & np.uint32(CLASSES - 1)])
+        if len(at):
+            own = shingle[at]
+            k = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            same = self.keys[k] == own
+            out[at[same]] = self.weights[k[same]]
+        return out
+
+
+def _sets(batches):
+    """The number of documents and the distinct shingles of each, slice by slice."""
+    for batch in batches:
+        for _, raw, off in slices(batch.column(0)):
+            _, _, h, upto = words(raw, off, ALNUM)
+            yield len(off) - 1, shingle_sets(h, upto, raw, off)[1]
+
+
+def _count_classes(batches):
+    from pyspark import TaskContext
+
+    df, n = np.zeros(CLASSES, np.uint32), 0
+    for rows, shingles in _sets(batches):
+        n += rows
+        df += np.bincount(shingles & np.uint32(CLASSES - 1), minlength=CLASSES).astype(np.uint32)
+    if n:
+        parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in df.reshape(-1, SEGMENT)]
+        k = TaskContext.get().partitionId() // 256
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([k] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([4] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["segment", "part", "n", "width", "df"])
+
+
+def _add_classes(table: pa.Table) -> pa.Table:
+    df = np.zeros(SEGMENT, np.uint64)
+    for width, x in zip(table["width"].to_pylist(), table["df"], strict=True):
+        df += np.frombuffer(pa.decompress(x.as_py(), width * SEGMENT, codec="zstd", asbytes=True), f"<u{width}")
+    return pa.table({"segment": table["segment"].slice(0, 1), "part": pa.array([0], pa.int32()), "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "width": pa.array([8], pa.int32()), "df": pa.array([pa.compress(df.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+
+
+def document_frequencies(docs: DataFrame, text: str) -> Idf:
+    """Weights of the shingles of all documents; FREQUENT shingles and CLASSES sums at most come to the driver."""
+    docs = docs.select(text)
+    kind = "segment int, part int, n long, width int, df binary"
+    # in two steps, so that no group is larger than some thousand rows
+    sums = docs.mapInArrow(_count_classes, kind).groupBy("segment", "part").applyInArrow(_add_classes, kind).groupBy("segment").applyInArrow(_add_classes, kind)
+    df, n = np.zeros(CLASSES, np.uint64), 0
+    for r in sums.collect():
+        n = r["n"]
+        df[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(pa.decompress(r["df"], 8 * SEGMENT, codec="zstd", asbytes=True), np.uint64)
+    floor = max(1, math.ceil(int(df.sum()) / FREQUENT))
+    live = docs.sparkSession.sparkContext.broadcast(np.packbits(df >= floor))
+
     def count(batches):
-        df, n = np.zeros(CLASSES, np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for _, raw, off in slices(batch.column(0)):
-                _, _, h, upto = words(raw, off, ALNUM)
-                df += np.bincount(shingle_sets(h, upto, raw, off)[1] & np.uint32(CLASSES - 1), minlength=CLASSES)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *df[at].tolist()], pa.int64())], names=["class", "n"])
+        may, found, size = np.unpackbits(live.value).astype(bool), [], 0
+        for _, shingles in _sets(batches):
+            found.append(np.unique(shingles[may[shingles & np.uint32(CLASSES - 1)]], return_counts=True))
+            size += len(found[-1][0])
+            if size > 1_000_000:
+                yield _summed(found)
+                found, size = [], 0
+        if size:
+            yield _summed(found)
 
-    found = docs.select(text).mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(CLASSES)
-    at = found["class"].to_numpy()
-    total = int(found["n"][at == -1].sum())
-    df[at[at >= 0]] = found["n"].to_numpy()[at >= 0]
-    return np.maximum(1, 1 + np.log((total + 1) / (df + 1)) / math.log(CLASSES)).astype(np.float32)
+    rows = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow().sort_by("shingle")
+    return Idf(rows["shingle"].to_numpy().astype(np.uint32), rows["n"].to_numpy().astype(float), n, floor)
 
 
-def weighted_jaccard(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, idf: np.ndarray) -> float:
+def _summed(found: list) -> pa.RecordBatch:
+    keys, where = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    n = np.bincount(where, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n)], names=["shingle", "n"])
+
+
+def weighted_jaccard(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, idf: Idf) -> float:
     """Of two sets of shingles (sorted hashes, counts)."""
-    wa, wb = ta * idf[a & np.uint32(CLASSES - 1)], tb * idf[b & np.uint32(CLASSES - 1)]
+    wa, wb = ta * idf.of(a).astype(float), tb * idf.of(b).astype(float)
     at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
     same = b[at] == a if len(b) else np.zeros(len(a), bool)
     both = float(np.minimum(wa[same], wb[at[same]]).sum())
@@ -194,20 +274,20 @@ def _block_links(shared):
 
         def read(table):
             s = [np.frombuffer(x.as_py(), np.uint32) for x in table["shingles"]]
-            t = [np.frombuffer(x.as_py(), np.uint16) if x.as_py() else None for x in table["counts"]]
-            return table["c"].to_pylist(), table["root"].to_pylist(), s, [np.ones(len(a), np.uint16) if b is None else b for a, b in zip(s, t, strict=True)]
+            t = [np.frombuffer(x.as_py(), np.uint32) if x.as_py() else None for x in table["counts"]]
+            return table["c"].to_pylist(), table["root"].to_pylist(), s, [np.ones(len(a), np.uint32) if b is None else b for a, b in zip(s, t, strict=True)]
 
         out = []
         if left.num_rows and right.num_rows:
             c, root, s, t = read(left)
             every = np.concatenate(s)
             known, where = np.unique(every, return_inverse=True)
-            weight = np.concatenate(t) * idf[every & np.uint32(CLASSES - 1)]
+            weight = np.concatenate(t) * idf.of(every).astype(float)
             starts = np.append(0, np.cumsum([len(x) for x in s])[:-1])
             total = np.add.reduceat(weight, starts)
             own = np.zeros(len(known), weight.dtype)
             for c1, r1, s1, t1 in zip(*read(right.rename_columns([x.removesuffix("_") for x in right.column_names])), strict=True):
-                w1 = t1 * idf[s1 & np.uint32(CLASSES - 1)]
+                w1 = t1 * idf.of(s1).astype(float)
                 at = np.minimum(np.searchsorted(known, s1), len(known) - 1)
                 same = known[at] == s1
                 own[:] = 0
@@ -236,7 +316,7 @@ def _set_rows(batches):
             doc, shingle, tf = shingle_sets(h, upto, raw, off)
             c = content_hashes(h, upto, raw, off)
             cut = np.searchsorted(doc, np.arange(len(off)))
-            tf = np.minimum(tf, 65535).astype(np.uint16)
+            tf = tf.astype(np.uint32)
             parts = [slice(cut[i], cut[i + 1]) for i in range(len(off) - 1)]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in c], pa.binary()), pa.array([shingle[p].tobytes() for p in parts], pa.binary()), pa.array([b"" if (tf[p] == 1).all() else tf[p].tobytes() for p in parts], pa.binary())], names=["c", "shingles", "counts"])
 
@@ -244,7 +324,7 @@ def _set_rows(batches):
 def _verifier(shared):
     def run(batches):
         idf = shared.value
-        one = lambda s, t: (s := np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint16) if t else np.ones(len(s), np.uint16))
+        one = lambda s, t: (s := np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32) if t else np.ones(len(s), np.uint32))
         for batch in batches:
             s1, t1, s2, t2 = (batch.column(batch.schema.get_field_index(x)) for x in ("s1", "t1", "s2", "t2"))
             ok = pa.array([weighted_jaccard(*one(a.as_py(), b.as_py()), *one(c.as_py(), d.as_py()), idf) >= SIMILARITY for a, b, c, d in zip(s1, t1, s2, t2, strict=True)], pa.bool_())
@@ -264,7 +344,7 @@ def _sampled(shared, own: int):
                 bands: list = [[]] * (len(off) - 1)
                 if len(doc):
                     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                    weight = np.log(tf.astype(np.float32) * idf[shingle & np.uint32(CLASSES - 1)])
+                    weight = np.log(tf.astype(np.float32) * idf.of(shingle))
                     for i, row in zip(doc[first].tolist(), sampler.bands(shingle, weight, first).tolist(), strict=True):
                         bands[i] = row
                 part = batch.slice(start, len(off) - 1)
@@ -282,7 +362,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     once; only contents that share a band are compared. Fewer than five words
     make one shingle. Documents without words, null texts among them (as empty),
     are alike if their texts are equal. Null keys: class_id is null if no member
-    has a key. Rows of one key and text are one class. No rows: no rows.
+    has a key. Rows of one key and text are one class. Very long texts are
+    sampled whole. Ties: among members that share as many buckets with others,
+    the one with the smallest content hash leads, which changes no class that
+    verification finds. Only these columns are returned. No rows: no rows.
     """
     spark = ship(docs.sparkSession)
     return _classes(docs, key, text, spark).select(F.col("d").alias(key), "class_id", "class_size")
@@ -290,7 +373,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def _classes(docs: DataFrame, key: str, text: str, spark) -> DataFrame:
     docs = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
-    idf = class_idf(docs, text)
+    idf = document_frequencies(docs, text)
     kind = docs.schema[key].dataType.simpleString()
     rows = stored(docs.select(F.col(key).alias("d"), text).mapInArrow(_sampled(spark.sparkContext.broadcast(idf), 1), f"d {kind}, c binary, bands array<long>"))
     contents = rows.groupBy("c").agg(F.min("d").alias("d"), F.first("bands").alias("bands"), F.count("*").alias("n"))
@@ -306,26 +389,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     spark = ship(docs.sparkSession)
     found = _classes(docs, key, text, spark)
     first = found.groupBy("root").agg(F.min(F.struct("d", "c")).alias("x")).select(F.col("x.d").alias("_d"), F.col("x.c").alias("_c"))
-    n = found.agg(F.count("*").alias("n"), F.countDistinct("d").alias("k")).first()
-    if n["n"] == n["k"]:
+    if not keys_repeat(found):
         return docs.join(first, docs[key] == F.col("_d"), "left_semi")
     # keys repeat or are null: a row is known by its key and content
-    marked = docs.mapInArrow(_contents(docs.columns.index(text)), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_c1 binary"]))
-    kept = marked.join(first, F.col(key).eqNullSafe(F.col("_d")) & (F.col("_c1") == F.col("_c")))
+    rows = marked(docs, text, "_c1")
+    kept = rows.join(first, rows[key].eqNullSafe(F.col("_d")) & (F.col("_c1") == F.col("_c")))
     one = W.partitionBy("_d", "_c").orderBy(F.md5(F.coalesce(F.col(text), F.lit(""))))
     return kept.withColumn("_i", F.row_number().over(one)).where("_i = 1").select(*docs.columns)
 
 
-def _contents(position: int):
-    def run(batches):
-        for batch in batches:
-            for start, raw, off in slices(batch.column(position)):
-                _, _, h, upto = words(raw, off, ALNUM)
-                part = batch.slice(start, len(off) - 1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in content_hashes(h, upto, raw, off)], pa.binary())], names=[*batch.schema.names, "_c1"])
-
-    return run
-
-
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
