@@ -19,6 +19,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.ship import ship
 
@@ -27,8 +28,8 @@ from ._text import NON_SPACE, mix, slices, words
 
 #: Tokens of a block, and bytes of text for each range of hashes.
 BLOCK_TOKENS, RANGE_BYTES = 1_000_000, 8_000_000
-#: Bits of a hash that are kept below those of its range, for words and for bigrams.
-BITS = (41, 32)
+#: Bits of a hash that are kept of bigrams, below those of the range; words keep all 64.
+PAIR_BITS = 40
 #: Buckets of context frequency: unseen, then by powers of two. Rounds of expectation-maximisation.
 BUCKETS, ROUNDS = 40, 60
 END = np.uint64(0x656E64)
@@ -70,10 +71,9 @@ def _counts(data: bytes) -> np.ndarray:
 
 def _keys(vocabulary: np.ndarray, ids: np.ndarray, ranges: int):
     """Distinct keys of the words and the bigrams of a block, and where each word and token finds its own."""
-    w = vocabulary >> np.uint64(64 - BITS[0] - ranges)
     before = np.concatenate([[END], vocabulary[ids[:-1]]]) if len(ids) else vocabulary[:0]
-    b = mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + vocabulary[ids]) >> np.uint64(64 - BITS[1] - ranges)
-    return np.unique(w, return_inverse=True), np.unique(b, return_inverse=True), before
+    b = mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + vocabulary[ids]) >> np.uint64(64 - min(64, PAIR_BITS + ranges))
+    return np.unique(vocabulary, return_inverse=True), np.unique(b, return_inverse=True)
 
 
 def _tokenise(ranges: int, kind: pa.DataType):
@@ -88,13 +88,14 @@ def _tokenise(ranges: int, kind: pa.DataType):
         head = {"task": number, "ids": ids, "lengths": n.tolist(), "train": learn.tolist(), "stream": _small(at), "vocabulary": vocabulary.tobytes()}
         rows = [head | {"kind": -1, "range": 0, "keys": None, "counts": None}]
         token = np.repeat(learn, n)
-        (w, wi), (b, bi), _ = _keys(vocabulary, at, ranges)
-        for what, (keys, where) in enumerate(((w, wi[at]), (b, bi))):
+        (w, wi), (b, bi) = _keys(vocabulary, at, ranges)
+        for what, (keys, where, bits) in enumerate(((w, wi[at], 64), (b, bi, min(64, PAIR_BITS + ranges)))):
             counts = np.bincount(where, token, len(keys)).astype(np.int64)
-            cuts = np.searchsorted(keys, np.arange((1 << ranges) + 1, dtype=np.uint64) << np.uint64(BITS[what]))
+            below = np.uint64(bits - ranges)
+            cuts = np.append(np.searchsorted(keys, np.arange(1 << ranges, dtype=np.uint64) << below), len(keys))
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[r], cuts[r + 1])
-                rows.append({"task": number, "kind": what, "range": r, "keys": _pack(keys[part] - (np.uint64(r) << np.uint64(BITS[what]))), "counts": _small(counts[part])})
+                rows.append({"task": number, "kind": what, "range": r, "keys": _pack(keys[part] - (np.uint64(r) << below)), "counts": _small(counts[part])})
         return pa.RecordBatch.from_pylist(rows, schema=_schema(kind))
 
     def run(batches):
@@ -154,7 +155,7 @@ def _resolve(ranges: int, kind: pa.DataType):
         if left.num_rows:
             row = left.slice(0, 1).to_pylist()[0]
             vocabulary, at = np.frombuffer(row["vocabulary"], np.uint64), _counts(row["stream"])
-            (_, wi), (_, bi), _ = _keys(vocabulary, at, ranges)
+            (_, wi), (_, bi) = _keys(vocabulary, at, ranges)
             found: tuple[dict, dict] = ({}, {})
             for what, r, totals in zip(right["kind"].to_pylist(), right["range"].to_pylist(), right["totals"], strict=True):
                 found[what][r] = _counts(totals.as_py())
@@ -236,14 +237,20 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     Tokens are runs without white space, A-Z in lower case, then one end of
     text. A null or empty text has the end alone; null where `train` is null
     counts as false. With nothing to learn from, all estimates are uniform.
-    Repeated rows count as often as they stand. No rows: no rows.
+    Repeated rows count as often as they stand; keys may be of any type, null or
+    repeated. A text is never cut: one longer than a block is a block of its
+    own. Only the columns named here are returned. No rows: no rows.
+
+    Words are counted by 64 bits of their hash, bigrams by 40 bits and those of
+    the range, whose number follows the input: at any size one bigram in some
+    800,000 at most shares its count with another.
     """
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("d"), F.coalesce(train, F.lit(False)).alias("t"), F.col(text).cast("string").alias("x"))
     size = rows.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     ranges = max(3, math.ceil(math.log2(max(1, size / RANGE_BYTES))))
     simple = rows.schema["d"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]
+    kind = to_arrow_type(rows.schema["d"].dataType)
     fields = f"task long, kind int, range int, keys binary, counts binary, ids array<{simple}>, lengths array<long>, train array<boolean>, stream binary, vocabulary binary"
     made = stored(rows.mapInArrow(_tokenise(ranges, kind), fields))
     totals = stored(made.where("kind >= 0").select("kind", "range", "task", "keys", "counts").groupBy("kind", "range").applyInArrow(_totals, "task long, kind int, range int, totals binary, n long, v long"))
