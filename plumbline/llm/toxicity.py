@@ -1,14 +1,14 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Trees and calibration are trained here, on a bounded sample of labelled rows,
-with numpy; every text is then scored whole, batch by batch, with no shuffle.
+Executors count the words and compute the features of a bounded sample of
+labelled rows; trees and calibration are trained on these with numpy. Every text
+is then scored whole, batch by batch, with no shuffle.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.ship import ship
 
+from ._store import stored
 from ._text import lower
 
 # General English lexicons of abuse, each a list of words.
@@ -39,60 +40,77 @@ SAMPLE = 8_000
 #: Learned lexicon: words of so many labelled texts at least, and so many words at most.
 LEXICON_TEXTS, LEXICON_WORDS = 5, 500
 TREES, DEPTH, RATE, BINS, NEAR = 80, 3, 0.15, 64, 5
+#: Folds of the calibration, and tasks that the labelled rows are dealt to.
+FOLDS, TASKS = 3, 32
 
 
-def features(text: str | None, learned: dict[str, float]) -> list[float]:
-    """Dense features of a whole text; a null text is empty."""
+def features(text: str | None, *lexicons: dict[str, float]) -> list[list[float]]:
+    """Dense features of a whole text, once for each learned lexicon; a null text is empty."""
     text = text or ""
     found = WORD.findall(lower(text))
     n, chars = max(1, len(found)), max(1, len(text))
-    hits, second, weight, top = [0, 0, 0, 0, 0], [], 0.0, 0.0
-    abusive = []
+    known, second = [], []
+    marks = [[] for _ in lexicons]
     for i, w in enumerate(found):
         if w in _ABUSE:
-            for k, kind in enumerate(_KINDS):
-                hits[k] += w in kind
-            abusive.append(i)
+            known.append(i)
         elif w in SECOND_PERSON:
             second.append(i)
-        if w in learned:
-            hits[4] += 1
-            weight += learned[w]
-            top = max(top, learned[w])
-            abusive.append(i)
-    near = 0
-    if second and abusive:
-        at = np.array(second)
-        spots = np.array(sorted(set(abusive)))
-        near = int((np.searchsorted(at, spots + NEAR, "right") > np.searchsorted(at, spots - NEAR)).sum())
+        for mark, learned in zip(marks, lexicons, strict=True):
+            if w in learned:
+                mark.append(i)
+    hits = [sum(found[i] in kind for i in known) for kind in _KINDS]
     disguised = masked = 0
     for m in MIXED.finditer(text):
         masked += 1
         plain = lower(m[0]).translate(LEET)
         disguised += plain in _ABUSE or re.sub(r"[^a-z]", "", plain) in _ABUSE
     capitals = sum(map(len, CAPITALS.findall(text)))
-    row = [math.log1p(len(found)), math.log1p(len(text))]
-    for h in hits:
-        row += [math.log1p(h), 100.0 * h / n]
-    distinct = len({found[i] for i in abusive})
-    row += [weight, weight / n * 100, top, float(distinct), 100.0 * distinct / math.sqrt(n), math.log1p(near), 100.0 * near / n, 100.0 * len(second) / n]
-    row += [capitals / chars, text.count("!") / chars, text.count("?") / chars, (text.count("*") + text.count("#") + text.count("$") + text.count("%") + text.count("@")) / chars, (text.count(",") + text.count(".") + text.count(";")) / chars]
-    row += [float(disguised), masked / n, len(REPEAT.findall(text)) / n, chars / n]
-    return row
+    style = [capitals / chars, text.count("!") / chars, text.count("?") / chars, (text.count("*") + text.count("#") + text.count("$") + text.count("%") + text.count("@")) / chars, (text.count(",") + text.count(".") + text.count(";")) / chars]
+    style += [float(disguised), masked / n, len(REPEAT.findall(text)) / n, chars / n]
+    rows = []
+    for mark, learned in zip(marks, lexicons, strict=True):
+        abusive = sorted({*known, *mark})
+        weights = [learned[found[i]] for i in mark]
+        near = 0
+        if second and abusive:
+            at, spots = np.array(second), np.array(abusive)
+            near = int((np.searchsorted(at, spots + NEAR, "right") > np.searchsorted(at, spots - NEAR)).sum())
+        row = [math.log1p(len(found)), math.log1p(len(text))]
+        for h in (*hits, len(mark)):
+            row += [math.log1p(h), 100.0 * h / n]
+        distinct = len({found[i] for i in abusive})
+        weight = sum(weights)
+        row += [weight, weight / n * 100, max(weights, default=0.0), float(distinct), 100.0 * distinct / math.sqrt(n), math.log1p(near), 100.0 * near / n, 100.0 * len(second) / n]
+        rows.append(row + style)
+    return rows
 
 
 _ABUSE = frozenset().union(*_KINDS)
-N_FEATURES = len(features("", {}))
+N_FEATURES = len(features("", {})[0])
 
 
-def learn_lexicon(texts: list[str | None], labels: np.ndarray) -> dict[str, float]:
-    """Words that mark toxic texts: log odds of the share of toxic texts that have the word, smoothed, where over 1."""
-    toxic, clean = Counter(), Counter()
-    for text, y in zip(texts, labels, strict=True):
-        (toxic if y else clean).update(set(WORD.findall(lower(text or ""))))
-    a, b = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
-    odds = {w: math.log((c + 0.5) / (a + 1)) - math.log((clean[w] + 0.5) / (b + 1)) for w, c in toxic.items() if c + clean[w] >= LEXICON_TEXTS}
-    return dict(sorted(((w, o) for w, o in odds.items() if o > 1), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS])
+def learn_lexicons(texts: DataFrame, size: int = LEXICON_WORDS) -> list[dict[str, float]]:
+    """Words that mark toxic texts of (text, y, fold): log odds of the share of toxic texts that have the word, smoothed, where over 1; those of the largest odds, `size` at most. One lexicon of all folds but each, last one of all."""
+
+    def distinct(batches):
+        for batch in batches:
+            for text, y, fold in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("text", "y", "fold")), strict=True):
+                own = sorted(set(WORD.findall(lower(text.as_py() or ""))))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.repeat(y, len(own)).cast(pa.int32()), pa.repeat(fold, len(own)).cast(pa.int32())], names=["w", "y", "fold"])
+
+    n = {(r["y"], r["fold"]): r["count"] for r in texts.groupBy("y", "fold").count().collect()}
+    per = [F.sum(((F.col("y") == y) & (F.col("fold") == f)).cast("long")).alias(f"n{y}{f}") for y in (0, 1) for f in range(FOLDS)]
+    counts = stored(texts.mapInArrow(distinct, "w string, y int, fold int").groupBy("w").agg(*per))
+    out = []
+    for left in (*range(FOLDS), None):
+        folds = [f for f in range(FOLDS) if f != left]
+        clean, toxic = (sum((F.col(f"n{y}{f}") for f in folds), F.lit(0)) for y in (0, 1))
+        b, a = (max(1, sum(n.get((y, f), 0) for f in folds)) for y in (0, 1))
+        odds = F.log((toxic + 0.5) / (a + 1)) - F.log((clean + 0.5) / (b + 1))
+        rows = counts.where((toxic > 0) & (toxic + clean >= LEXICON_TEXTS)).select("w", odds.alias("odds")).where("odds > 1").orderBy(F.desc("odds"), "w").limit(size).collect()
+        out.append({r["w"]: r["odds"] for r in rows})
+    return out
 
 
 class Trees:
@@ -169,24 +187,20 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration learned from labelled texts. The calibration sees scores of texts that the trees it uses did not learn from (three folds by position)."""
+    """Lexicon, trees and calibration learned from labelled texts. The calibration sees scores of texts whose fold neither the trees nor the lexicon that it uses learned from."""
 
-    def __init__(self, texts: list[str | None], labels: list[int]):
-        y = np.asarray(labels, float)
-        self.learned = learn_lexicon(texts, y)
-        fold = np.arange(len(y)) % 3
+    def __init__(self, learned: dict[str, float], x: list[np.ndarray], y: np.ndarray, fold: np.ndarray):
+        """x: features by the lexicon of all folds but each, last by that of all."""
+        self.learned = learned
         out = np.zeros(len(y))
-        for k in range(3):
+        for k in range(FOLDS):
             rest = fold != k
-            words = learn_lexicon([t for t, r in zip(texts, rest, strict=True) if r], y[rest])
-            part = np.array([features(t, words) for t in texts]).reshape(-1, N_FEATURES)
-            out[~rest] = Trees(part[rest], y[rest]).predict(part[~rest])
-        x = np.array([features(t, self.learned) for t in texts]).reshape(-1, N_FEATURES)
-        self.trees = Trees(x, y)
+            out[~rest] = Trees(x[k][rest], y[rest]).predict(x[k][~rest])
+        self.trees = Trees(x[-1], y)
         self.xs, self.ys = isotonic(out, y) if len(y) and y.min() < y.max() else (np.zeros(0), np.zeros(0))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        raw = self.trees.predict(np.array([features(t, self.learned) for t in texts]).reshape(-1, N_FEATURES))
+        raw = self.trees.predict(np.array([features(t, self.learned)[0] for t in texts]).reshape(-1, N_FEATURES))
         plain = 1 / (1 + np.exp(-raw))
         if not len(self.xs):
             return plain
@@ -194,17 +208,35 @@ class Model:
         return np.clip(0.98 * np.interp(raw, self.xs, self.ys) + 0.02 * plain, 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from `sample` labelled rows at most (labels.doc_id, labels.toxic), those with the smallest hash of doc_id."""
-    few = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    few = few.sparkSession.createDataFrame(few.toPandas(), "doc_id long, toxic int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = texts.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").toLocalIterator()
-    pairs = [(r["text"], r["toxic"]) for r in rows]
-    return Model([t for t, _ in pairs], [y for _, y in pairs])
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Learns from `sample` labelled rows at most, those with the smallest hash of the key (any type).
+
+    Rows of a null key or label teach nothing; of labels that repeat a key the
+    largest counts, of its texts the least. Texts stay in the executors, which
+    count words and compute features; `sample` rows of features, and lexicons
+    of LEXICON_WORDS words, come to the driver.
+    """
+    ship(docs.sparkSession)
+    name = F.col(key).cast("string")
+    few = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_d")).agg(F.max(label).cast("int").alias("y"))
+    few = stored(few.withColumn("o", F.md5(F.col("_d").cast("string"))).orderBy("o", "_d").limit(sample))
+    own = docs.select(name.alias("d"), F.col(text).alias("text")).join(F.broadcast(few.select(F.col("_d").cast("string").alias("d"), "y", "o")), "d").groupBy("d", "y", "o").agg(F.min("text").alias("text"))
+    texts = stored(own.select("text", F.least(F.col("y"), F.lit(1)).alias("y"), F.pmod(F.xxhash64("o"), F.lit(FOLDS)).cast("int").alias("fold"), "o").repartition(TASKS, "o"))
+    lexicons = learn_lexicons(texts)
+
+    def compute(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                rows = [[v for row in features(t, *lexicons) for v in row] for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(rows, pa.list_(pa.float64()))], names=["y", "fold", "o", "x"])
+
+    rows = texts.mapInArrow(compute, "y int, fold int, o string, x array<double>").toArrow().sort_by("o")
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, FOLDS + 1, N_FEATURES)
+    return Model(lexicons[-1], [x[:, k] for k in range(FOLDS + 1)], rows["y"].to_numpy().astype(float), rows["fold"].to_numpy())
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with a double column toxicity (0 to 1), which replaces one of that name.
 
     Each text is read whole; a null or empty one gets the score of an empty
@@ -217,7 +249,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
+            texts = batch.column(batch.schema.get_field_index(text))
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(texts.slice(i, 500).to_pylist()), pa.float64())], names=[*batch.schema.names, "toxicity"])
