@@ -56,6 +56,40 @@ def test_lm_base_and_shares(spark):
     assert set(got.train_tokens) == {n} and (got.score < 0).all() and got.score.sum() > got.base_score.sum()
 
 
+def test_lm_mixture_against_plain_counts(spark):
+    import datetime
+
+    import pandas as pd
+
+    rng = random.Random(15)
+    day = datetime.date(2020, 1, 1)
+    docs = [(day + datetime.timedelta(i), " ".join(rng.choice(["a", "b", "the", "c", f"w{i % 9}"]) for _ in range(rng.randint(0, 30)))) for i in range(50)]
+    d = spark.createDataFrame(docs, "doc_id date, text string")
+    got = {r["doc_id"]: r for r in language_model.score_texts(d, F.dayofmonth("doc_id") % 3 != 0).collect()}
+    tokens = {i: [*t.split(), "\0"] for i, t in docs}
+    learn = [i for i, _ in docs if i.day % 3]
+    one = collections.Counter(w for i in learn for w in tokens[i])
+    two = collections.Counter((a, b) for i in learn for a, b in zip(["\0", *tokens[i]], tokens[i]))
+    n, v = sum(one.values()), len(one)
+    bucket = lambda c: min(39, c.bit_length())
+    cells = collections.Counter()
+    for i in learn:
+        for a, b in zip(["\0", *tokens[i]], tokens[i]):
+            context, pair, word = one[a] - 1, two[a, b] - 1, one[b] - 1
+            cells[bucket(context), round(4 * math.log2(max(1, context) / pair)) if pair else -1, round(4 * math.log2(word)) if word else -1] += 1
+    w = language_model.mixture(pd.DataFrame([(*k, m) for k, m in cells.items()], columns=["bucket", "q2", "q1", "n"]), n, v)
+    for i, ws in tokens.items():
+        score = sum(math.log10(w[bucket(one[a]), 0] * two[a, b] / max(1, one[a]) + w[bucket(one[a]), 1] * one[b] / n + w[bucket(one[a]), 2] / (v + 1)) for a, b in zip(["\0", *ws], ws))
+        assert got[i]["train"] == bool(i.day % 3) and math.isclose(got[i]["score"], score, rel_tol=1e-9)
+
+
+def test_lm_long_text(spark, monkeypatch):
+    text = " ".join(str(i % 977) for i in range(60_000))
+    d = spark.createDataFrame([("x", text), ("y", "0 1 2"), (None, None)], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in language_model.score_texts(d, F.lit(True)).collect()}
+    assert (got["x"]["n_tokens"], got["x"]["n_known"], got[None]["n_tokens"]) == (60_001, 60_001, 1) and got["y"]["train_tokens"] == 60_001 + 4 + 1
+
+
 def test_lm_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert language_model.score_texts(d, F.lit(True)).count() == 0
@@ -95,6 +129,30 @@ def test_nearest(spark):
     assert len(few) == 6 and neighbours.nearest(d.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_of_vectors_as_large_and_as_small_as_doubles(spark):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(40, 6))
+    x[10:20] *= 1e200
+    x[20:25] *= 1e307
+    x[25:30] *= 1e-200
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(d, F.lit(True), recall=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    for q in range(40):
+        want = sorted((math.dist(x[q], x[i]), i) for i in range(40) if i != q)[:10]
+        assert [i for _, i in got[q]] == [i for _, i in want] and np.allclose([s for s, _ in got[q]], [s for s, _ in want], rtol=1e-12, atol=0)
+
+
+def test_nearest_of_far_vectors_that_lie_close(spark):
+    rng = np.random.default_rng(23)
+    x = 1e8 + rng.normal(size=(200, 4)).round(2)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in neighbours.nearest(d, F.col("_v") == 7, recall=1.0).collect():
+        want = sorted((float(np.sqrt(((x[i] - x[7]) ** 2).sum())), i) for i in range(200) if i != 7)
+        assert (r["score"], r["vec_id"]) == want[r["rank"] - 1]
+
+
 # 3 licences
 
 
@@ -150,11 +208,67 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[900] == got[901]
     held = [(got[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((s >= 0.5) == bool(y) for s, y in held) >= 0.95 * len(held)
+    text_keys = lambda x: x.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
+    again = toxicity.score_toxicity(text_keys(d), toxicity.fit(text_keys(d), text_keys(train))).collect()
+    assert sum((r["toxicity"] >= 0.5) == bool(dict(labels)[int(r["doc_id"][1:])]) for r in again if r["doc_id"] and int(r["doc_id"][1:]) < 240) >= 235
     none = toxicity.fit(d, lab.limit(0))
     assert {r["toxicity"] for r in toxicity.score_toxicity(d, none).collect()} == {0.5}
     assert toxicity.score_toxicity(d.limit(0), model).count() == 0
 
 
+def test_lexicons_against_plain_counts(spark):
+    rng = random.Random(25)
+    rows = [(" ".join(rng.choice(["you", "fool", "sun", "sea", "blorp"][: 5 if i % 3 == 0 else 4]) for _ in range(8)), int(i % 3 == 0), i % 3 if i % 2 else (i // 3) % 3) for i in range(90)]
+    got = toxicity.learn_lexicons(spark.createDataFrame([*rows, (None, 0, 1)], "text string, y int, fold int"))
+    for left, words_ in zip((0, 1, 2, None), got, strict=True):
+        own = [(set((t or "").split()), y) for t, y, f in [*rows, (None, 0, 1)] if f != left]
+        a, b = (sum(y == k for _, y in own) for k in (1, 0))
+        want = {}
+        for w in {w for ws, _ in own for w in ws}:
+            c1, c0 = (sum(w in ws for ws, y in own if y == k) for k in (1, 0))
+            odds = math.log((c1 + 0.5) / (a + 1)) - math.log((c0 + 0.5) / (b + 1))
+            if c1 and c0 + c1 >= toxicity.LEXICON_TEXTS and odds > 1:
+                want[w] = odds
+        assert set(want) == set(words_) and all(math.isclose(words_[w], want[w]) for w in want) and "blorp" in want
+
+
+def plain_trees(x, y, trees, depth):
+    """Boosted trees with every split of every node tried in turn: predictions for x."""
+    f = [math.log(sum(y) / (len(y) - sum(y)))] * len(y)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-v)) for v in f]
+        g, h = [a - b for a, b in zip(y, p)], [a * (1 - a) for a in p]
+        nodes = [list(range(len(y)))]
+        for _ in range(depth):
+            fresh = []
+            for rows in nodes:
+                best, cut = 1e-6, None
+                gt, ht = sum(g[i] for i in rows), sum(h[i] for i in rows)
+                for j in range(x.shape[1]) if len(rows) >= 10 else ():
+                    for v in sorted({x[i, j] for i in rows}):
+                        left = [i for i in rows if x[i, j] <= v]
+                        gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                        gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+                        if hl >= 0.5 and ht - hl >= 0.5 and gain > best + 1e-12:
+                            best, cut = gain, (j, v)
+                fresh += [rows] if cut is None else [[i for i in rows if (x[i, cut[0]] <= cut[1]) == side] for side in (True, False)]
+            nodes = fresh
+        for rows in nodes:
+            step = 0.15 * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+            for i in rows:
+                f[i] += step
+    return f
+
+
+def test_trees_against_plain_ones():
+    rng = np.random.default_rng(26)
+    x = rng.integers(0, 12, (120, 3)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 3)).astype(float)
+    y[rng.integers(0, 120, 10)] = 1
+    got = toxicity.Trees(x, y, trees=4, depth=2).predict(x)
+    assert np.allclose(got, plain_trees(x, y.tolist(), 4, 2))
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
     assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and len(toxicity.isotonic(np.zeros(0), np.zeros(0))[0]) == 0
@@ -163,44 +277,65 @@ def test_isotonic():
 # 5 decontamination
 
 
-def test_decontamination_against_brute_force(spark, monkeypatch):
-    rng = random.Random(6)
-    items = [(i, prose(rng, n)) for i, n in enumerate([40, 13, 12, 3, 20, 0, 26])] + [(7, None), (2, prose(rng, 15)), (11, "one")]
-    docs = []
-    for i in range(60):
-        parts = [prose(rng, rng.randint(0, 30))]
-        for _ in range(rng.randint(0, 3)):
-            w = split(rng.choice(items)[1])
-            a = rng.randint(0, max(0, len(w) - 1))
-            parts += [" ".join(w[a : a + rng.randint(1, 20)]), prose(rng, rng.randint(0, 6))]
-        docs.append((i, " ".join(parts)))
-    docs += [(100, None), (101, ""), (102, "the the the " * 20), (0, docs[0][1]), (None, items[0][1])]
+def contamination(docs, items):
+    """(doc, words, hits, items) by comparing every window."""
     windows = collections.defaultdict(set)
     for i, t in items:
         w = split(t)
         n = min(13, len(w))
         for j in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[j : j + n])].add(str(i))
+            windows[tuple(w[j : j + n])].add(i)
     want = []
     for i, t in docs:
         w, hit, found = split(t), set(), set()
         for n in {len(x) for x in windows}:
             for j in range(len(w) - n + 1):
-                if (own := windows.get(tuple(w[j : j + n]))):
+                if own := windows.get(tuple(w[j : j + n])):
                     hit.update(range(j, j + n))
                     found |= own
-        want.append((str(i), len(w), len(hit), ",".join(sorted(found))))
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(1))
+        want.append((str(i), len(w), len(hit), ",".join(sorted(str(x) for x in found if x is not None)), len(found)))
+    return sorted(want)
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(6)
+    items = [(i, prose(rng, n)) for i, n in enumerate([40, 13, 12, 3, 20, 0, 26, 6, 5, 7])] + [(17, None), (2, prose(rng, 15)), (11, "one"), (None, prose(rng, 30)), (None, "null item"), (21, "null item"), (22, "the the the")]
+    docs = []
+    for i in range(80):
+        parts = [prose(rng, rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            w = split(rng.choice(items)[1])
+            a = rng.randint(0, max(0, len(w) - 1))
+            parts += [" ".join(w[a : a + rng.randint(1, 20)]), prose(rng, rng.randint(0, 6))]
+        docs.append((i, " ".join(parts)))
+    docs += [(100, None), (101, ""), (102, "the the the " * 20), (0, docs[0][1]), (None, items[0][1]), (None, items[0][1]), (103, f"{prose(rng, 30000)} {items[0][1]} {prose(rng, 30000)}")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(1)).withColumn("c", F.lit(2))
     b = spark.createDataFrame(items, "item_id long, text string")
-    for size in (8_000_000, 150):
-        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
-        got = decontamination.find_contamination(d, b).collect()
-        assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], ",".join(r["items"])) for r in got) == sorted(want)
+    got = decontamination.find_contamination(d, b).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], ",".join(r["items"]), r["n_items"]) for r in got) == contamination(docs, items)
+    dirty = {i for i, n, h, *_ in contamination(docs, items) if h and 20 * h >= n}
+    kept = decontamination.keep_clean(d, b)
+    assert kept.columns == d.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in docs if str(i) not in dirty)
+    one_each = d.where("doc_id is not null").dropDuplicates(["doc_id"])
+    assert {r["doc_id"] for r in decontamination.keep_clean(one_each, b).collect()} == {i for i, _ in docs if i is not None and str(i) not in dirty}
     assert all(r["n_hit"] == 0 for r in decontamination.find_contamination(d, b.limit(0)).collect())
-    assert decontamination.find_contamination(d.limit(0), b).count() == 0
+    assert decontamination.find_contamination(d.limit(0), b).count() == 0 and decontamination.keep_clean(d.limit(0), b).count() == 0
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), ","), 256)).first()[0]
 
 
+def test_decontamination_by_merge_and_with_text_keys(spark):
+    rng = random.Random(16)
+    items = [(f"q{i}", prose(rng, 20)) for i in range(30)] + [(f"z{i}", "every item ends with these very words so that one window of all is the same") for i in range(30)]
+    docs = [(f"d{i}", f"{prose(rng, 20)} {rng.choice(items)[1]} {prose(rng, 20)}" if i % 2 else prose(rng, 50)) for i in range(60)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = decontamination.find_contamination(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), r["n_items"]) for r in got) == contamination(docs, items)
+
+
 # 6 repeated passages
 
 
@@ -302,6 +437,33 @@ def test_near_duplicate_passage_after_repeated_lines(spark):
     assert [i for i, _ in docs if str(i ^ 1) not in map(str, got[i]["sources"]) and not got[i]["first_spans"]] == []
 
 
+def test_pairs_behind_short_sharers(spark):
+    rng = random.Random(31)
+    docs = []
+    for k in range(30):
+        shared = prose(rng, 60).split()
+        docs += [(100 * k + j, f"{prose(rng, 30)} {' '.join(shared)} {prose(rng, 30)}") for j in (0, 1)]
+        docs += [(100 * k + 2 + j, f"{prose(rng, 40)} {' '.join(shared[j : j + 40])} {prose(rng, 40)}") for j in range(20)]
+    got = {r["doc_id"]: r for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[100 * k + j]["spans"] or got[100 * k + j]["first_spans"] for k in range(30) for j in (0, 1))
+
+
+def test_fragments_of_all_lengths_against_brute_force(spark):
+    rng = random.Random(32)
+    sources = [prose(rng, 90).split() for _ in range(6)]
+    docs = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w, n = rng.choice(sources), rng.randint(20, 70)
+            a = rng.randint(0, 90 - n)
+            parts += [*w[a : a + n], *prose(rng, rng.randint(0, 8)).split()]
+        docs.append((i, " ".join(parts)))
+    hit = equal_words(docs, 51)
+    got = {r["doc_id"]: {w for x in [*r["spans"], *r["first_spans"]] for w in range(x >> 31, x & 0x7FFFFFFF)} for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [i for i, _ in docs if not hit[i] <= got[i]] == []
+
+
 def jaccard(a, b):
     a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
     return len(a & b) / len(a | b)
@@ -396,6 +558,62 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_unrelated_long_texts_share_no_sample():
+    rng = np.random.default_rng(41)
+    sampler, n = near_dedup.Sampler(), 200_000
+    x = rng.integers(0, 1 << 32, 2 * n, dtype=np.uint64).astype(np.uint32)
+    a, b = sampler.bands(x, np.zeros(2 * n, np.float32), np.array([0, n]))
+    assert not (a == b).any()
+    short = sampler.bands(x, np.zeros(2 * n, np.float32), np.arange(0, 2 * n, 2000))
+    assert all(len(set(short[:, k].tolist())) == len(short) for k in range(near_dedup.BANDS))
+
+
+def test_samples_agree_as_often_as_weights_overlap():
+    rng = np.random.default_rng(42)
+    sampler, equal, want = near_dedup.Sampler(), 0, 0.0
+    for _ in range(300):
+        x = rng.integers(0, 1 << 32, 60, dtype=np.uint64).astype(np.uint32)
+        wa, wb = rng.integers(1, 5, 50).astype(np.float32), rng.integers(1, 5, 50).astype(np.float32)
+        wb[:35] = wa[:35]
+        ids = np.concatenate([x[:50], x[10:]])
+        a, b = sampler.bands(ids, np.log(np.concatenate([wa, wb[np.r_[10:50, 0:10]]])), np.array([0, 50]))
+        full_a, full_b = dict(zip(x[:50].tolist(), wa.tolist())), dict(zip(x[10:].tolist(), wb[np.r_[10:50, 0:10]].tolist()))
+        keys = {*full_a, *full_b}
+        similarity = sum(min(full_a.get(k, 0), full_b.get(k, 0)) for k in keys) / sum(max(full_a.get(k, 0), full_b.get(k, 0)) for k in keys)
+        equal += int((a == b).sum())
+        want += near_dedup.BANDS * similarity**near_dedup.ROWS
+    assert abs(equal - want) < 5 * math.sqrt(want)
+
+
+def test_frequencies_against_plain_counts(spark):
+    import pyarrow as pa
+
+    rng = random.Random(43)
+    line = prose(rng, 12)
+    texts = [f"{prose(rng, rng.randint(0, 30))} {line if i % 3 == 0 else ''}" for i in range(200)] + [None, "", line, line]
+    idf = near_dedup.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), "text")
+    df = collections.Counter()
+    for t in texts:
+        w = split(t)
+        df.update({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
+    for t in texts[:40]:
+        w = split(t)
+        for _, raw, off in slices(pa.array([t])):
+            _, _, h, upto = words(raw, off)
+            _, shingle, _ = near_dedup.shingle_sets(h, upto, raw, off)
+            want = sorted(max(1, 1 + math.log((len(texts) + 1) / (df[g] + 1)) / math.log(near_dedup.FREQUENT)) for g in ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ()))
+            assert np.allclose(np.sort(idf.of(shingle)), want, rtol=1e-6)
+
+
+def test_near_duplicates_of_long_texts_and_many_repeats(spark):
+    rng = random.Random(44)
+    long = prose(rng, 40_000).split()
+    edited = [*long[:20_000], "x", *long[20_001:]]
+    often = "ab cd ef gh ij " * 70_000
+    d = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(edited)), (3, often), (4, often + "ab cd ef gh ij " * 100), (5, "ab cd ef gh ij " * 30_000), (6, prose(rng, 40_000))], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
 # 8 chats
 
 
@@ -446,6 +664,20 @@ def test_mixing(spark):
     assert key(got) == key(again) and mixing.mix_sources(d.limit(0)).count() == 0
 
 
+def test_mixing_of_equal_rows(spark):
+    rng = random.Random(51)
+    rows = [(None, "w " * 100, "a")] * 400 + [(i, "w " * rng.randint(1, 9), "b") for i in range(3000)] + [(7, "x " * 40, "c")] * 300 + [(None, None, None)] * 5
+    d = spark.createDataFrame(rows, DOCS).repartition(6)
+    got = mixing.mix_sources(d).toPandas()
+    assert len(got) == len(rows)
+    for s in ("a", "b", "c"):
+        own = got[got.source == s]
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= 50, s
+    again = mixing.mix_sources(d.coalesce(1)).toPandas()
+    key = lambda x: sorted(zip(map(str, x.source), map(str, x.doc_id), x.taken))
+    assert key(got) == key(again)
+
+
 # 10 pages
 
 
@@ -458,12 +690,27 @@ def test_mixing(spark):
     ("<div class='page with-sidebar'><div class=nav>n</div><article>a b</article><div class='comments'><article>c</article></div></div>", "a b"),
     ("<article><p>one</p><![ if IE]><p>two</p><![x[ ]]><p>three</p><![endif]></article>", "one\ntwo\nthree"),
     ("<div class='story-intro'>" + "intro words " * 12 + "</div><div class='story-body'><p>" + "</p><p>".join(["body words " * 20] * 15) + "</p></div>", ("intro words " * 12).strip() + ("\n" + ("body words " * 20).strip()) * 15),
+    ("<head><title>t</title><body><main><p>hello there</main>", "hello there"),
+    ("<div class='sidebar-layout'><p>" + "long words " * 40 + "</p></div>", ("long words " * 40).strip()),
+    ("<form><p>" + "long words " * 40 + "</p></form>", ("long words " * 40).strip()),
+    ("<article><p>" + "text " * 80 + "</p><section class='related-work'><p>" + "prior work " * 40 + "</p></section><p class='notice'>" + "noted here " * 40 + "</p></article>", ("text " * 80).strip() + "\n" + ("prior work " * 40).strip() + "\n" + ("noted here " * 40).strip()),
+    ("<div id=a><a href=x>Home</a><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>By us</p></div><div id=b><h2>Title</h2><p>" + "long words " * 40 + "</p><p>ok.</p><ul><li>one<li>two</ul><p>" + "more words " * 20 + "</p></div><div id=c><p>c 2020</p><p><a>x</a></p><p>y</p><p><a>z</a></p></div>", "Title\n" + ("long words " * 40).strip() + "\nok.\none\ntwo\n" + ("more words " * 20).strip()),
     ("<article>x<!-- c --><p hidden>h</p><p class='cookie-notice'>n</p>y</article>", "x\ny"),
 ])
 def test_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_pages_without_an_article_element():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"])["html"].to_pylist()[:100]
+    bare = [h.replace("<article>", "<div class='x'>").replace("</article>", "</div>").replace('class="ad"', "class='y'") for h in pages]
+    same = sum(html_text.main_text(a) == html_text.main_text(b) for a, b in zip(pages, bare))
+    changed = sum(html_text.main_text(b, share=0) != html_text.main_text(b) for b in bare)
+    assert same >= 0.8 * len(pages) and changed >= 0.8 * len(pages)
+
+
 def test_pages_table(spark):
     d = spark.createDataFrame([(1, "u", "<article>é x</article>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert [tuple(r) for r in html_text.extract_text(d).select("page_id", "url", "text", "n_chars").orderBy("page_id").collect()] == [(1, "u", "é x", 3), (2, None, "", 0)]
