@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from plumbline.store import stored
+
 #: Windows that stand at more places than this are skipped: with K places a window makes K * (K - 1) / 2 pairs.
 MAX_PLACES = 200
+#: Tokens by which a pair is extended in the first round.
+FIRST = 128
 
 
 def windows(tokens: DataFrame, k: int) -> DataFrame:
-    """(file, pos, gram, prev): a hash of each k tokens in a row of a file, and of the token before (null at the start)."""
+    """(file, pos, gram, prev): a hash of each k tokens in a row of a file, and of the token before (null at the start).
+
+    Hashes of 2, 4, 8... tokens are made of two of half the length each; those
+    that k is the sum of make a window. A row holds a few numbers at any k.
+    """
     order = W.partitionBy("file").orderBy("pos")
-    h = F.xxhash64("value")
-    t = tokens.select("file", "pos", h.alias("h"))
-    frame = order.rowsBetween(0, k - 1)
-    t = t.withColumn("prev", F.lag("h").over(order)).withColumn("n", F.count("*").over(frame)).withColumn("gram", F.xxhash64(F.collect_list("h").over(frame)))
-    return t.where(F.col("n") == k).select("file", "pos", "gram", "prev")
+    t = tokens.select("file", "pos", F.xxhash64("value").alias("h0"))
+    t = t.withColumns({"prev": F.lag("h0").over(order), "last": F.lead("h0", k - 1).over(order)})
+    names, at = ["h0"], 0
+    while 2 << at <= k:
+        t = t.withColumn(f"h{at + 1}", F.xxhash64(f"h{at}", F.lead(f"h{at}", 1 << at).over(order)))
+        at += 1
+        names.append(f"h{at}")
+    parts, done = [], 0
+    for i in range(at, -1, -1):
+        if k >> i & 1:
+            parts.append(F.lead(f"h{i}", done).over(order) if done else F.col(f"h{i}"))
+            done += 1 << i
+    t = t.withColumn("gram", F.xxhash64(*parts))
+    return t.where("last is not null").select("file", "pos", "gram", "prev")
 
 
 def buckets(grams: DataFrame) -> DataFrame:
@@ -33,21 +52,48 @@ def candidates(grams: DataFrame, k: int, max_places: int = MAX_PLACES) -> DataFr
     return a.join(b, "gram").where(ordered & ~longer).select("file_a", "pos_a", "file_b", "pos_b")
 
 
+def _blocks(tokens: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """(file, block, h, line): the tokens from block * size on, twice `size` at most, of the blocks that `places` (file, pos) stand in."""
+    wanted = places.select("file", F.floor(F.col("pos") / size).alias("block")).distinct()
+    own = F.floor(F.col("pos") / size)
+    rows = tokens.join(wanted.select("file").distinct(), "file", "left_semi").select("file", "pos", F.xxhash64("value").alias("h"), "line", F.explode(F.array(own, own - 1)).alias("block"))
+    found = rows.join(wanted, ["file", "block"], "left_semi").groupBy("file", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "line"))).alias("t"))
+    return found.select("file", "block", F.col("t.h").alias("h"), F.col("t.line").alias("line"))
+
+
 def maximal(pairs: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
-    """Clones, extended while tokens are equal, within both files and, in one file, up to the other copy."""
-    files = tokens.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("value").alias("h"), "line"))).alias("t"))
-    files = files.select("file", F.col("t.h").alias("h"), F.col("t.line").alias("lines"))
-    side = lambda s: files.select(F.col("file").alias(f"file_{s}"), F.col("h").alias(f"h_{s}"), F.col("lines").alias(f"lines_{s}"))
-    both = pairs.join(side("a"), "file_a").join(side("b"), "file_b")
-    room = F.least(F.size("h_a") - F.col("pos_a"), F.size("h_b") - F.col("pos_b"), F.when(F.col("file_a") == F.col("file_b"), F.col("pos_b") - F.col("pos_a")).otherwise(F.lit((1 << 31) - 1))).cast("int")
-    cut = lambda s: F.slice(F.col(f"h_{s}"), (F.col(f"pos_{s}") + 1).cast("int"), room)
-    first = F.array_position(F.zip_with(cut("a"), cut("b"), lambda x, y: x == y), F.lit(False))
-    both = both.withColumn("token_count", F.when(first > 0, first - 1).otherwise(room.cast("bigint"))).where(F.col("token_count") >= k)
-    line = lambda s, at: F.element_at(F.col(f"lines_{s}"), (at + 1).cast("int"))
-    end = lambda s: F.col(f"pos_{s}") + F.col("token_count") - 1
-    return both.select(
-        "file_a", line("a", F.col("pos_a")).alias("start_line_a"), line("a", end("a")).alias("end_line_a"), "file_b", line("b", F.col("pos_b")).alias("start_line_b"), line("b", end("b")).alias("end_line_b"), "token_count"
-    )
+    """Clones, extended while tokens are equal, within both files and, in one file, up to the other copy.
+
+    Pairs meet the tokens that follow, a block of them in each round, of eight
+    times the length of that before; only pairs that are equal to the end of a
+    block go on. What is sent follows the length of clones, not that of files.
+    """
+    places = lambda d, *sides: reduce(DataFrame.unionAll, [d.select(F.col(f"file_{s}").alias("file"), (F.col(f"pos_{s}") + F.col("n")).alias("pos")) for s in sides])
+    none = F.lit(None).cast(tokens.schema["line"].dataType)
+    active = pairs.select("file_a", "pos_a", "file_b", "pos_b", F.lit(0).cast("bigint").alias("n"), *[none.alias(f"{x}_line_{s}") for s in "ab" for x in ("start", "end")])
+    size, out = max(FIRST, 2 * k), []
+    while True:
+        blocks = _blocks(tokens, places(active, "a", "b"), size)
+        both = active
+        for s in "ab":
+            side = blocks.select(F.col("file").alias(f"file_{s}"), F.col("block").alias(f"block_{s}"), F.col("h").alias(f"h_{s}"), F.col("line").alias(f"l_{s}"))
+            both = both.withColumn(f"block_{s}", F.floor((F.col(f"pos_{s}") + F.col("n")) / size)).join(side, [f"file_{s}", f"block_{s}"], "left")
+            both = both.withColumn(f"skip_{s}", (F.col(f"pos_{s}") + F.col("n") - F.col(f"block_{s}") * size).cast("int"))
+        # a pair whose clone ended with its file finds no block, or nothing left in it
+        rest = lambda s: F.greatest(F.coalesce(F.size(f"h_{s}"), F.lit(0)) - F.col(f"skip_{s}"), F.lit(0))
+        own = F.when(F.col("file_a") == F.col("file_b"), F.col("pos_b") - F.col("pos_a") - F.col("n")).otherwise(F.lit(size))
+        both = both.withColumn("room", F.least(rest("a"), rest("b"), own, F.lit(size)).cast("int"))
+        cut = lambda s: F.slice(F.col(f"h_{s}"), F.col(f"skip_{s}") + 1, F.col("room"))
+        first = F.array_position(F.zip_with(cut("a"), cut("b"), lambda x, y: x == y), F.lit(False))
+        both = both.withColumn("more", F.when(F.col("room") == 0, 0).when(first > 0, first - 1).otherwise(F.col("room")).cast("int"))
+        line = lambda s, at: F.element_at(F.col(f"l_{s}"), F.col(f"skip_{s}") + at)
+        lines = [x for s in "ab" for x in (F.coalesce(f"start_line_{s}", line(s, 1)).alias(f"start_line_{s}"), F.when(F.col("more") > 0, line(s, F.col("more"))).otherwise(F.col(f"end_line_{s}")).alias(f"end_line_{s}"))]
+        fresh = stored(both.select("file_a", "pos_a", "file_b", "pos_b", (F.col("n") + F.col("more")).alias("n"), *lines, (F.col("more") == size).alias("on")))
+        out.append(fresh.where("not on and n >= %d" % k))
+        active = fresh.where("on").drop("on")
+        if active.isEmpty():
+            return reduce(DataFrame.unionAll, out).select("file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b", F.col("n").alias("token_count"))
+        size *= 8
 
 
 def unsubsumed(clones: DataFrame) -> DataFrame:
@@ -64,7 +110,9 @@ def unsubsumed(clones: DataFrame) -> DataFrame:
     return kept.select("file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b", "token_count")
 
 
-def find_clones(tokens: DataFrame, k: int = 50) -> DataFrame:
+def find_clones(tokens: DataFrame, k: int = 50, max_places: int = MAX_PLACES) -> DataFrame:
+    """Clones of k tokens or more. Windows at more than `max_places` places begin none; a larger number lifts that."""
     if k <= 0:
         raise ValueError("k must be positive")
-    return unsubsumed(maximal(candidates(windows(tokens, k), k), tokens, k))
+    tokens = stored(tokens.select("file", "pos", "value", "line"))
+    return unsubsumed(maximal(stored(candidates(stored(windows(tokens, k)), k, max_places)), tokens, k))
