@@ -12,9 +12,12 @@ many candidates and many callers costs no more than the sum of both.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.names import crate_of, local_name, short_name
+from plumbline.store import stored
 
 
 def name_index(units: DataFrame) -> DataFrame:
@@ -58,25 +61,40 @@ def same_file_calls(calls: DataFrame, units: DataFrame) -> DataFrame:
     return calls.join(ids, F.concat("file", F.lit("::"), "call") == F.col("same_file"), "left")
 
 
-def pick(calls: DataFrame, index: DataFrame, key: Column, name: str) -> DataFrame:
-    """Adds the best candidate for a key: of the caller's file, of its crate, or any."""
-    index = index.withColumn("crate", crate_of("id"))
+class Reduced(NamedTuple):
+    """First candidates of the index by name and file, by name and crate, and by name."""
+
+    by_file: DataFrame
+    by_crate: DataFrame
+    by_key: DataFrame
+
+
+def reduced(index: DataFrame, calls: DataFrame) -> Reduced:
+    """Written once: both kinds of names are picked from it."""
+    index = stored(index.withColumn("crate", crate_of("id")))
     by_file = _first(["key", "file"], in_files(index, calls.select("file"))).select(F.col("key").alias("_kf"), F.col("file").alias("_f"), F.col("first").alias("_in_file"))
-    by_crate = _first(["key", "crate"], index).select(F.col("key").alias("_kc"), F.col("crate").alias("_c"), F.col("first").alias("_in_crate"))
+    by_crate = _first(["key", "crate"], index).select(F.col("key").alias("_kc"), F.col("crate").alias("_c"), F.col("first").alias("_in_crate"), F.col("entries").alias("_in_crate_n"))
     by_key = _first(["key"], index).select(F.col("key").alias("_ka"), F.col("first").alias("_any"))
+    return Reduced(stored(by_file), stored(by_crate), stored(by_key))
+
+
+def pick(calls: DataFrame, index: DataFrame | Reduced, key: Column, name: str) -> DataFrame:
+    """Adds the best candidate for a key: of the caller's file, of its crate, or any."""
+    index = index if isinstance(index, Reduced) else reduced(index, calls)
     return (
         calls.withColumn("_key", key)
-        .join(by_file, (F.col("_key") == F.col("_kf")) & (F.col("file") == F.col("_f")), "left")
-        .join(by_crate, (F.col("_key") == F.col("_kc")) & (F.col("crate") == F.col("_c")), "left")
-        .join(by_key, F.col("_key") == F.col("_ka"), "left")
+        .join(index.by_file, (F.col("_key") == F.col("_kf")) & (F.col("file") == F.col("_f")), "left")
+        .join(index.by_crate.drop("_in_crate_n"), (F.col("_key") == F.col("_kc")) & (F.col("crate") == F.col("_c")), "left")
+        .join(index.by_key, F.col("_key") == F.col("_ka"), "left")
         .withColumn(name, F.coalesce("_in_file", "_in_crate", "_any"))
         .drop("_key", "_kf", "_f", "_in_file", "_kc", "_c", "_in_crate", "_ka", "_any")
     )
 
 
-def path_calls(calls: DataFrame, index: DataFrame) -> DataFrame:
+def path_calls(calls: DataFrame, index: DataFrame | Reduced) -> DataFrame:
     """Adds by_path: the only index entry of the caller's crate for the call without its first part."""
-    only = _first(["key", "crate"], index.withColumn("crate", crate_of("id"))).where("entries = 1").select(F.col("key").alias("_k"), F.col("crate").alias("_c"), F.col("first").alias("by_path"))
+    index = index if isinstance(index, Reduced) else reduced(index, calls)
+    only = index.by_crate.where("_in_crate_n = 1").select(F.col("_kc").alias("_k"), "_c", F.col("_in_crate").alias("by_path"))
     return calls.withColumn("_key", path_key()).join(only, (F.col("_key") == F.col("_k")) & (F.col("crate") == F.col("_c")), "left").drop("_key", "_k", "_c")
 
 
@@ -92,9 +110,9 @@ def resolve(calls: DataFrame, units: DataFrame) -> DataFrame:
     id reach the index.
     """
     calls = calls.withColumn("crate", crate_of("id"))
-    asked = exact_calls(calls.select("call", "file", "crate").distinct(), units)
+    asked = stored(exact_calls(calls.select("call", "file", "crate").distinct(), units))
     rest = asked.where("exact is null").drop("exact")
-    index = name_index(units)
+    index = reduced(name_index(units), rest)
     found = same_file_calls(rest, units)
     found = pick(found, index, F.col("call"), "by_name")
     found = pick(found, index, method_key(), "by_method")

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.store import stored
+
 from .distribution import summary
 
+#: Lines of a block.
+LINES = 4096
+
 
 def union_changes(ranges: DataFrame, untracked: DataFrame) -> DataFrame:
     """Changed ranges (file, whole_file, start_line, end_line) with untracked files, which are changed as a whole."""
@@ -14,18 +19,24 @@ def union_changes(ranges: DataFrame, untracked: DataFrame) -> DataFrame:
 
 
 def changed_units(units: DataFrame, changed: DataFrame) -> DataFrame:
-    """Units whose span a changed line falls in."""
-    c = changed.select(F.col("file").alias("_f"), "whole_file", F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    hit = (F.col("file") == F.col("_f")) & (F.col("whole_file") | ((F.col("_s") <= F.col("end_line")) & (F.col("start_line") <= F.col("_e"))))
-    return units.join(c, hit, "left_semi")
+    """Units whose span a changed line falls in. Spans meet changes by file and by block of lines, so a huge file is no single task."""
+    whole = changed.where("whole_file").select("file").distinct()
+    span = ["file", "start_line", "end_line"]
+    block = lambda lo, hi: F.explode(F.sequence(F.floor(F.least(lo, hi) / LINES), F.floor(F.greatest(lo, hi) / LINES))).alias("_block")
+    spans = units.select(*span).distinct()
+    lines = changed.where("not whole_file").select("file", F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), block("start_line", "end_line"))
+    touch = ["file", "_block"]
+    meet = spans.select(*span, block("start_line", "end_line")).join(lines, touch).where((F.col("_s") <= F.col("end_line")) & (F.col("start_line") <= F.col("_e")))
+    hit = meet.select(*span).unionAll(units.join(whole, "file", "left_semi").select(*span)).distinct()
+    return units.join(hit, span, "left_semi")
 
 
 def with_parents(ids: DataFrame, units: DataFrame) -> DataFrame:
-    """`ids` (id, source file) with the parents of their units, and theirs, within one source file."""
-    links = units.where("parent is not null").select("id", "file", "parent").distinct()
-    known = fresh = ids.select("id", "file").distinct()
+    """`ids` (id, source file) with the parents of their units, and theirs, within one source file. Each generation is written once."""
+    links = stored(units.where("parent is not null").select("id", "file", "parent").distinct())
+    known = fresh = stored(ids.select("id", "file").distinct())
     while True:
-        fresh = fresh.join(links, ["id", "file"]).select(F.col("parent").alias("id"), "file").distinct().join(known, ["id", "file"], "left_anti")
+        fresh = stored(fresh.join(links, ["id", "file"]).select(F.col("parent").alias("id"), "file").distinct().join(known, ["id", "file"], "left_anti"))
         if fresh.isEmpty():
             return known
         known = known.unionAll(fresh)

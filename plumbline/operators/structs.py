@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from plumbline.functions.names import simple_name
 from plumbline.store import stored
 
-#: Structs of so many methods at most are folded within a row; larger ones are labelled by joins.
+from .components import components
+
+#: Structs of so many methods at most are folded within a row; larger ones are grouped by joins.
 FOLD = 512
 
 
@@ -32,30 +34,26 @@ def method_links(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 def lcom4(units: DataFrame) -> DataFrame:
     """Connected groups of the methods of each parent; parents without methods have no row."""
     methods, links = method_links(units)
+    methods, links = stored(methods), stored(links)
     sizes = methods.groupBy("parent").agg(F.count("*").cast("int").alias("n"))
-    grouped = links.groupBy("parent").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("links"))
-    small = sizes.where(F.col("n") <= FOLD).join(grouped, "parent", "left")
+    small, large = sizes.where(F.col("n") <= FOLD), sizes.where(F.col("n") > FOLD)
+    # links of large structs never meet in one row
+    near = links.join(large.select("parent"), "parent", "left_anti")
+    grouped = near.groupBy("parent").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("links"))
+    small = small.join(grouped, "parent", "left")
     label = F.aggregate(
         F.coalesce("links", F.array().cast("array<struct<a:int,b:int>>")),
         F.sequence(F.lit(0), F.col("n") - 1),
         lambda acc, e: F.transform(acc, lambda x: F.when(x == F.element_at(acc, e["a"] + 1), F.element_at(acc, e["b"] + 1)).otherwise(x)),
     )
     out = small.select(F.col("parent").alias("id"), F.size(F.array_distinct(label)).cast("bigint").alias("value"))
-    large = sizes.where(F.col("n") > FOLD).select("parent")
     if not large.isEmpty():
-        out = out.unionAll(_labelled(methods.join(large, "parent", "left_semi"), links.join(large, "parent", "left_semi")))
+        out = out.unionAll(_in_stars(large, links.join(large.select("parent"), "parent", "left_semi")))
     return out.select(F.lit("lcom").alias("metric"), "id", "value")
 
 
-def _labelled(methods: DataFrame, links: DataFrame) -> DataFrame:
-    """Groups by the smallest label of neighbours, until nothing changes."""
-    both = stored(links.unionAll(links.select("parent", F.col("b"), F.col("a"))))
-    state = methods.withColumn("label", F.col("i"))
-    while True:
-        near = both.join(state.select("parent", F.col("i").alias("b"), "label"), ["parent", "b"]).groupBy("parent", F.col("a").alias("i")).agg(F.min("label").alias("least"))
-        fresh = state.join(near, ["parent", "i"], "left").withColumn("next", F.least("label", F.coalesce("least", "label")))
-        fresh = stored(fresh)
-        done = fresh.where("next <> label").isEmpty()
-        state = fresh.select("parent", "i", F.col("next").alias("label"))
-        if done:
-            return state.groupBy("parent").agg(F.countDistinct("label").alias("value")).select(F.col("parent").alias("id"), "value")
+def _in_stars(sizes: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups of large structs: their methods less those that hang on another one."""
+    node = lambda i: F.struct("parent", F.col(i).alias("i"))
+    hung = components(links.select(node("a").alias("a"), node("b").alias("b"))).groupBy(F.col("node.parent").alias("parent")).agg(F.count("*").alias("hung"))
+    return sizes.join(hung, "parent", "left").select(F.col("parent").alias("id"), (F.col("n") - F.coalesce("hung", F.lit(0))).cast("bigint").alias("value"))
