@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="plumbline")
     p.add_argument("--root")
     p.add_argument("--cache", help="folder with unit JSON and token files of other extractors")
+    p.add_argument("--generation", type=int, help="leave out what the cache has from before this time")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("check")
     c.add_argument("target", nargs="?")
@@ -33,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--json", action="store_true")
     c.add_argument("--pretty", action="store_true")
     c.add_argument("--cov", action="append", default=[])
+    c.add_argument("--filter", help="folder that units have to lie in; in a diff, changed ones")
     c.add_argument("--timing", action="store_true")
     ls = sub.add_parser("ls")
     ls.add_argument("path", nargs="?")
@@ -49,15 +51,16 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def load(spark: SparkSession, root: str, cache: str | None):
+def load(spark: SparkSession, root: str, cache: str | None, generation: int | None = None):
     """Units and tokens of the project, from its source; a cache adds those of other languages."""
-    paths = [p for lang in files.EXTENSIONS for p in files.sources(root, lang)]
+    paths = [p for lang in files.EXTENSIONS if files.has_language(root, lang) for p in files.sources(root, lang)]
     source = files.read(spark, root, paths)
     units = source_units(source, int(time.time()), files.rust_crates(root))
     tokens = tokenize(source)
     if cache:
-        other = caches.read_units(spark, cache).where(~F.coalesce(language("file").isin(*READERS), F.lit(False)))
-        units = units.unionByName(other)
+        other = ~F.coalesce(language("file").isin(*READERS), F.lit(False))
+        units = units.unionByName(caches.read_units(spark, cache, generation).where(other))
+        tokens = tokens.select("file", "pos", "value", "line", "col").unionByName(caches.read_tokens(spark, cache, generation).drop("cached_at").where(other))
     return stored(units), tokens, source
 
 
@@ -85,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("plumbline").getOrCreate()
     timing = Timing()
     with timing.span("extract"):
-        units, tokens, source = load(spark, root, args.cache)
+        units, tokens, source = load(spark, root, args.cache, args.generation)
     if args.command == "ls":
         found = report.list_units(units, args.kind, args.path)
         print(json.dumps([r.asDict() for r in found.select("id", "kind", "file", "start_line", "end_line").collect()]) if args.json else "\n".join(r["line"] for r in listing(found).collect()))
@@ -95,15 +98,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(one["source"] if one else f"no unit {args.symbol}", file=sys.stdout if one else sys.stderr)
         return 0 if one else 1
     kind, name = files.classify_target(args.target, root) if args.target else ("", "")
-    changed = None
+    changed, mode, detail = None, kind if name != "." else "", name
     if not args.target and not args.all:
         state = git.working_state(root)
         changed = git.changes(spark, root, state) if state.mode != "whole-project" else None
+        mode, detail = state.mode, state.base or ""
     if kind == "path" and name != ".":
         units = units.where(in_path("file", name))
-    cov = lcov.parse(lcov.read(spark, args.cov)) if args.cov else None
+    if args.filter:
+        folder = files.folder_below(args.filter, root)
+        if changed is not None:
+            changed = changed.where(in_path("file", folder)) if folder else changed
+        elif folder:
+            units = units.where(in_path("file", folder))
+    reports, skipped = lcov.readable(args.cov, root)
+    cov = lcov.below(lcov.parse(lcov.read(spark, reports), root), root, os.path.abspath(args.root or root)) if reports else None
     with timing.span("compute_metrics"):
-        r = report.check(units, tokens, config, cov, changed)
+        r = report.check(units, tokens, config, cov, changed, mode, detail)
+    for text in (*skipped, *r.warnings):
+        print(f"warning: {text}", file=sys.stderr)
     if kind == "symbol":
         if units.where(F.col("id") == name).isEmpty():
             print(f"no unit {name}", file=sys.stderr)

@@ -34,10 +34,21 @@ def python_module(path) -> Column:
 
 
 def normalised(path, root: str) -> Column:
-    """Absolute path, without `.` and doubled slashes; links are not followed."""
+    """Absolute path, without `.`, `..` and doubled slashes; links are not followed."""
     c = F.col(path) if isinstance(path, str) else path
     absolute = F.when(c.startswith("/"), c).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), c))
-    return F.regexp_replace(F.regexp_replace(absolute, r"/(\./)+", "/"), r"/{2,}", "/")
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(absolute, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def within(path, *roots: str) -> Column:
+    """A path relative to the first of these roots that it lies under; as it is, if it lies under none. Relative ones are under the first."""
+    c = normalised(path, roots[0])
+    out = F.when(F.lit(False), c)
+    for r in roots:
+        prefix = r.rstrip("/") + "/"
+        out = out.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1)))
+    return out.otherwise(c)
 
 
 def in_path(file, path: str) -> Column:

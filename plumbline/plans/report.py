@@ -100,6 +100,8 @@ class Report:
     clones: DataFrame | None = None
     covered: DataFrame | None = None
     scope: str = "whole project"
+    mode: str = "whole-project"
+    warnings: tuple[str, ...] = ()
 
     def rows(self, k: int = 10, ignores: DataFrame | None = None, symbol: str | None = None) -> DataFrame:
         found = rows.score(self.distributions, self.fans, self.config, symbol)
@@ -124,7 +126,7 @@ class Report:
         density = structural.dag_density(self.units, self.edges).first()["dag_density"]
         if not self.config.is_disabled("dag_density"):
             metrics["dag_density"] = {"value": density}
-        d = stored(self.distributions)
+        d = self.distributions
         sums = {r["metric"]: r for r in distribution.summary(d.select("metric", "id", "value"), tuple(where)).collect()}
         for m, (group, name) in where.items():
             if self.config.is_disabled(m) or m in ("line_cov", "uncov_branches") and self.covered is None:
@@ -136,26 +138,44 @@ class Report:
             if m == "duplication_pct" and self.pct is not None:
                 block |= duplication.duplication_summary(self.pct, self.clones).first().asDict()
             (metrics.setdefault(group, {}) if group else metrics)[name] = block
-        return json.dumps({"scope": {"description": self.scope}, "files": {"extracted": c["files"]}, "units": c["units"], "partial_units": c["partial_units"], "edges": c["edges"], "metrics": metrics}, indent=2)
+        return json.dumps({"scope": {"mode": self.mode, "description": self.scope}, "files": {"extracted": c["files"]}, "units": c["units"], "partial_units": c["partial_units"], "edges": c["edges"], "metrics": metrics}, indent=2)
 
 
-def check(units: DataFrame, tokens: DataFrame | None = None, config: Config = Config(), cov: tuple[DataFrame, DataFrame] | None = None, changed: DataFrame | None = None) -> Report:
-    """All metrics of units and tokens. Those of a change are computed over everything and then shown for what it touches."""
+# What is said of coverage that looks wrong.
+HAZARDS = {
+    "no_file_matches": "the report names {lcov_files_total} file(s), none of which is an analyzed source: are its SF paths those of sources below the root?",
+    "units_without_data": "{units_without_data}/{units_analyzed} analyzed units had no coverage data: is the report old or incomplete?",
+    "no_branch_records": "the report has no BRDA records: uncov_branches is left out",
+}
+
+
+def check(units: DataFrame, tokens: DataFrame | None = None, config: Config = Config(), cov: tuple[DataFrame, DataFrame] | None = None, changed: DataFrame | None = None, mode: str = "", detail: str = "") -> Report:
+    """All metrics of units and tokens. Those of a change are computed over everything and then shown for what it touches.
+
+    mode: what is checked, as the scope line says it: whole-project, path,
+    symbol, uncommitted or branch-diff; detail: the path, symbol or base.
+    """
     edges = stored(calls.edges(calls.unit_calls(units), units))
-    fan = structural.fan(units, edges)
+    fan = stored(structural.fan(units, edges))
     parts = [complexity.complexity_distribution(units), structural.fan_distribution(fan, "fan_in"), structural.fan_distribution(fan, "fan_out"), structs.methods_per_struct(units), structs.lcom4(units), complexity.file_loc(units)]
     found = pct = covered = None
+    said: tuple[str, ...] = ()
     if cov is not None and not {"line_cov", "uncov_branches"} <= config.disabled_metrics:
-        covered = coverage.coverage(units, *cov)
+        covered = stored(coverage.coverage(units, *cov))
         parts.append(coverage.coverage_distribution(covered, not cov[1].isEmpty()))
+        counted = stored(coverage.counters(units, *cov))
+        numbers = counted.first().asDict()
+        said = tuple(HAZARDS[r["warning"]].format(**numbers) for r in coverage.warnings(counted).collect())
     d = reduce(DataFrame.unionByName, parts).withColumn("raw", F.col("value").cast("double"))
     if tokens is not None and not config.is_disabled("duplication_pct"):
-        found = clones.find_clones(tokens, config.min_tokens)
-        pct = duplication.duplication(found, units)
+        found = stored(clones.find_clones(tokens, config.min_tokens))
+        pct = stored(duplication.duplication(found, units))
         d = d.unionByName(duplication.duplication_distribution(pct))
-    text = "whole project"
+    d = stored(d)
+    mode = mode or ("uncommitted" if changed is not None else "whole-project")
+    text = scope.describe(mode, detail=detail)
     if changed is not None:
         ids, files = scope.display_scope(units, changed)
         d, fan = scope.retain(d, ids, files), fan.join(ids, "id", "left_semi")
-        text = scope.describe("uncommitted", ids.count(), files.count())
-    return Report(units, edges, fan, d, config, pct, found, covered, text)
+        text = scope.describe(mode, ids.count(), files.count(), detail)
+    return Report(units, edges, fan, d, config, pct, found, covered, text, mode, said)

@@ -95,3 +95,12 @@ def classify_target(target: str, root: str) -> tuple[str, str]:
     """(path, its name) for what exists, else (symbol, target)."""
     p = Path(root, target)
     return ("path", str(p.resolve().relative_to(Path(root).resolve()))) if p.exists() else ("symbol", target)
+
+
+def folder_below(folder: str, root: str) -> str:
+    """A folder relative to the root, both without links; empty for the root itself."""
+    p = Path(root, folder).resolve()
+    if not p.is_dir():
+        raise ValueError(f"no folder {folder!r}")
+    found = str(p.relative_to(Path(root).resolve()))
+    return "" if found == "." else found

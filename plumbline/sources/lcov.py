@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from plumbline.functions.names import normalised
+from plumbline.functions.names import normalised, within
 
 
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -12,6 +15,23 @@ def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("input"), F.col("value").alias("content"))
 
 
+def readable(paths: list[str], root: str) -> tuple[list[str], list[str]]:
+    """Report files, relative ones below the root, and a warning for each that cannot be read."""
+    good, bad = [], []
+    for p in paths:
+        if "://" in p:
+            good.append(p)
+            continue
+        own = os.path.join(root, p)
+        try:
+            with open(own, encoding="utf-8") as f:
+                f.read(1)
+            good.append(Path(own).resolve().as_uri())
+        except (OSError, UnicodeDecodeError) as e:
+            bad.append(f"skipped --cov {own}: {e}")
+    return good, bad
+
+
 def parse(reports: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame]:
     """cov_lines (file, line, hits) and cov_branches (file, line, taken), one row for each record.
 
@@ -30,3 +50,8 @@ def parse(reports: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame]:
     da = found.where("tag = 'DA'").select("file", number(0).alias("line"), number(1).alias("hits")).where("line is not null and hits is not null")
     brda = found.where("tag = 'BRDA' and size(part) >= 4").select("file", number(0).alias("line"), F.coalesce(number(3), F.lit(0)).cast("bigint").alias("taken")).where("line is not null")
     return da, brda
+
+
+def below(cov: tuple[DataFrame, DataFrame], *roots: str) -> tuple[DataFrame, DataFrame]:
+    """Lines and branches with files relative to the project, as its units have them. roots: names of one folder, as links give it several."""
+    return tuple(x.withColumn("file", within("file", *roots)) for x in cov)

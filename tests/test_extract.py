@@ -1,3 +1,4 @@
+import json
 import subprocess
 
 import pytest
@@ -137,3 +138,54 @@ def test_cli(spark, project, capsys):
     assert cli.main([*args, "ignore", "pkg.m::a", "--remove"], spark) == 0 and not (project / ".plumbline" / "ignores.json").exists()
     assert cli.main([*args, "metrics", "get", "line_cov"], spark) == 0
     assert ">= 90" in capsys.readouterr().out
+
+
+def test_cli_coverage_by_absolute_paths(spark, project, capsys, tmp_path):
+    args = ["--root", str(project), "check", "-A", "-k", "-1"]
+    body = "".join(f"DA:{i},1\n" for i in range(1, 40))
+    for name, path in (("abs", project / "pkg" / "m.py"), ("rel", "pkg/m.py"), ("dots", "pkg/../pkg/./m.py")):
+        (tmp_path / f"{name}.info").write_text(f"SF:{path}\n{body}BRDA:1,0,0,1\nend_of_record\n")
+        assert cli.main([*args, "--cov", str(tmp_path / f"{name}.info")], spark) == 0
+        got = capsys.readouterr()
+        assert "line_cov" not in got.out and "warning" not in got.err, name
+    (tmp_path / "other.info").write_text("SF:/elsewhere/m.js\nDA:1,1\nend_of_record\n")
+    assert cli.main([*args, "--cov", str(tmp_path / "other.info"), "--cov", str(tmp_path / "none.info")], spark) == 0
+    got = capsys.readouterr()
+    assert "line_cov\tpkg.m::a\t0%" in got.out and "skipped --cov" in got.err and "none of which" in got.err and "no BRDA" in got.err
+
+
+def test_cli_scope_lines_filter_and_cached_tokens(spark, project, capsys, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(project), "-c", "user.email=x@x", "-c", "user.name=x", *a], check=True, capture_output=True)
+    if not (project / ".git").exists():
+        git("init", "-q")
+    git("add", "-A")
+    git("commit", "-q", "-m", "one")
+    git("branch", "-f", "main")
+    git("checkout", "-q", "-b", "topic")
+    (project / "pkg" / "n.py").write_text("def added(z):\n    if z:\n        return 1\n    return 2\n")
+    git("add", "-A")
+    git("commit", "-q", "-m", "two")
+    root = ["--root", str(project)]
+    assert cli.main([*root, "check"], spark) == 0
+    assert "scope: branch diff vs main (1 unit in 1 file)" in capsys.readouterr().out
+    assert cli.main([*root, "check", "pkg"], spark) == 0 and capsys.readouterr().out.startswith("scope: path pkg")
+    assert cli.main([*root, "check", "pkg.m::a"], spark) == 0 and capsys.readouterr().out.startswith("scope: symbol pkg.m::a")
+    (project / "sub").mkdir()
+    assert cli.main([*root, "check", "--filter", "sub"], spark) == 0 and "(0 units in 0 files)" in capsys.readouterr().out
+    assert cli.main([*root, "check", "--json", "-A"], spark) == 0 and '"mode": "whole-project"' in capsys.readouterr().out
+    # two files of a language that only the cache knows, with the same tokens
+    from plumbline.sources.caches import encode_tokens
+
+    cache = tmp_path / "tokens"
+    cache.mkdir()
+    span = {"start_line": 1, "start_col": 0, "end_line": 60, "end_col": 0}
+    for name in ("a.kt", "b.kt"):
+        (cache / f"{name}.tokens").write_bytes(encode_tokens(name, 9, [(f"v{i}", i + 1, 0) for i in range(60)]))
+        unit = {"id": f"{name}::f", "kind": "Function", "file": name, "span": span, "reads": [], "writes": [], "calls": [], "tags": []}
+        (cache / f"{name}.json").write_text(json.dumps({"source_path": name, "units": [unit], "cached_at": 9}))
+    assert cli.main([*root, "--cache", str(cache), "check", "-A", "-k", "-1"], spark) == 0
+    assert "duplication_pct\ta.kt::f\t100" in capsys.readouterr().out
+    assert cli.main([*root, "--cache", str(cache), "--generation", "10", "check", "-A", "-k", "-1"], spark) == 0
+    assert "a.kt" not in capsys.readouterr().out
