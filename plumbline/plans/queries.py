@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.config import METRICS, SHOWN, Config, LOWER_IS_WORSE
 from plumbline.functions.buckets import bucket, severity_low, severity_of, severity_size
 from plumbline.operators import calls, clones, complexity, coverage, distribution, duplication, rows, scope, structs, structural
+from plumbline.plans import source_queries
 from plumbline.plans.adapters import Tables
 from plumbline.plans.duck import SCOPED
 from plumbline.plans.report import catalog
@@ -393,4 +394,5 @@ def metric_catalog(t):
     return catalog(t.spark, CONFIG)
 
 
+QUERIES |= source_queries.QUERIES
 __all__ = ["LOWER_IS_WORSE", "METRICS", "QUERIES", "SHOWN"]

@@ -5,9 +5,11 @@ import os
 import duckdb
 import pytest
 
-from plumbline.plans.duck import ORACLES
+from plumbline.plans import duck as duck_sql, source_queries
 from plumbline.plans.queries import QUERIES
 
+ORACLES = duck_sql.ORACLES | source_queries.ORACLES
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
