@@ -31,12 +31,12 @@ def method_links(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     return m.select("parent", "i"), shared.unionAll(calls).distinct()
 
 
-def lcom4(units: DataFrame) -> DataFrame:
-    """Connected groups of the methods of each parent; parents without methods have no row."""
+def lcom4(units: DataFrame, fold: int = FOLD) -> DataFrame:
+    """Connected groups of the methods of each parent; parents without methods have no row. Structs of more than `fold` methods are grouped by joins."""
     methods, links = method_links(units)
     methods, links = stored(methods), stored(links)
     sizes = methods.groupBy("parent").agg(F.count("*").cast("int").alias("n"))
-    small, large = sizes.where(F.col("n") <= FOLD), sizes.where(F.col("n") > FOLD)
+    small, large = sizes.where(F.col("n") <= fold), sizes.where(F.col("n") > fold)
     # links of large structs never meet in one row
     near = links.join(large.select("parent"), "parent", "left_anti")
     grouped = near.groupBy("parent").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("links"))

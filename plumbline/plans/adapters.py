@@ -29,9 +29,9 @@ WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey, o_orderkey
 """
 STRUCTS = "SELECT parent AS id, file, min(start_line) AS start_line, max(end_line) AS end_line FROM {a_methods} GROUP BY parent, file"
 FUNCTIONS = """
-SELECT concat('crate', p_partkey % 25, '::util::P', p_partkey % 401) AS id,
+SELECT concat('crate', p_partkey % 25, CASE WHEN p_partkey < 10025 THEN '::util::P' ELSE concat('::util', CAST(floor(p_partkey / 10025) AS BIGINT), '::P') END, p_partkey % 401) AS id,
        concat('src/util', p_partkey % 25, '.rs') AS file, p_partkey AS unit_key
-FROM {part} WHERE p_partkey < 10025
+FROM {part}
 UNION ALL
 SELECT concat('src/n', n_nationkey, '.rs::P', n_nationkey * 7), concat('src/n', n_nationkey, '.rs'),
        CAST(1000000 + n_nationkey AS BIGINT) FROM {nation}
@@ -44,12 +44,19 @@ SELECT DISTINCT m.id AS id, m.file AS file,
          WHEN 2 THEN concat('crate', (l_partkey + l_suppkey % 2) % 25, '::util::P', l_partkey % 401)
          ELSE concat('obj.P', l_partkey % 401) END AS call
 FROM {a_methods} m JOIN {lineitem} ON l_orderkey = m.unit_key
+UNION
+SELECT f.id, f.file, concat('P', (f.unit_key * 7 + j.n_nationkey) % 401) FROM {a_functions} f CROSS JOIN {nation} j WHERE j.n_nationkey < 4 AND f.unit_key < 1000000
+"""
+#: Every third method calls the one before it of the same parent.
+SIBLINGS = """
+SELECT id, parent, concat('self.O', before) AS call, before
+FROM (SELECT id, parent, unit_key, lag(unit_key) OVER (PARTITION BY parent ORDER BY unit_key) AS before FROM {a_methods}) s
+WHERE before IS NOT NULL AND unit_key % 3 = 0
 """
 FIELDS = """
-SELECT DISTINCT m.id AS id, m.parent AS parent, concat('f', l_suppkey % 10) AS field,
+SELECT DISTINCT m.id AS id, m.parent AS parent, concat('f', l_suppkey % 40) AS field,
        CASE WHEN l_returnflag = 'N' THEN 'write' ELSE 'read' END AS access
 FROM {a_methods} m JOIN {lineitem} ON l_orderkey = m.unit_key
-WHERE l_linenumber <= 2
 """
 NESTED = """
 SELECT concat('u', user_id) AS id, concat('src/u', user_id, '.rs') AS file, CAST(1 AS BIGINT) AS start_line, CAST(720 AS BIGINT) AS end_line
@@ -86,7 +93,7 @@ FROM (SELECT doc_id, line, unnest(v) AS value, unnest(range(len(v))) AS col
             FROM (SELECT doc_id, unnest(s) AS t, unnest(range(1, len(s) + 1)) AS line
                   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM {documents}))))
 """
-DUCK = {"a_methods": METHODS, "a_structs": STRUCTS, "a_functions": FUNCTIONS, "a_calls": CALLS, "a_fields": FIELDS, "c_units": NESTED, "c_lines": LINES, "c_branches": BRANCHES, "d_changed": CHANGED, "b_tokens": DUCK_TOKENS}
+DUCK = {"a_methods": METHODS, "a_structs": STRUCTS, "a_functions": FUNCTIONS, "a_calls": CALLS, "a_siblings": SIBLINGS, "a_fields": FIELDS, "c_units": NESTED, "c_lines": LINES, "c_branches": BRANCHES, "d_changed": CHANGED, "b_tokens": DUCK_TOKENS}
 
 
 class Tables:
@@ -118,7 +125,11 @@ class Tables:
 
     @cached_property
     def calls(self) -> DataFrame:
-        return self.sql(CALLS, a_methods=self.methods)
+        return self.sql(CALLS, a_methods=self.methods, a_functions=self.functions)
+
+    @cached_property
+    def siblings(self) -> DataFrame:
+        return self.sql(SIBLINGS, a_methods=self.methods)
 
     @cached_property
     def fields(self) -> DataFrame:
@@ -130,7 +141,7 @@ class Tables:
         zero = F.lit(0).cast("bigint")
         m = self.methods.select(F.col("unit_key").alias("unit_ord"), "id", F.lit("Method").alias("kind"), "file", "start_line", "end_line", "params", "branches", "cognitive_complexity", "max_scope_lines", "parent")
         f = self.functions.select((F.lit(1 << 40) + F.col("unit_key")).alias("unit_ord"), "id", F.lit("Function").alias("kind"), "file", F.lit(1).cast("bigint").alias("start_line"), F.lit(1).cast("bigint").alias("end_line"), zero.alias("params"), zero.alias("branches"), zero.alias("cognitive_complexity"), zero.alias("max_scope_lines"), F.lit(None).cast("string").alias("parent"))
-        s = self.structs.select(F.lit(1 << 41).alias("unit_ord"), "id", F.lit("Struct").alias("kind"), "file", "start_line", "end_line", zero.alias("params"), zero.alias("branches"), zero.alias("cognitive_complexity"), zero.alias("max_scope_lines"), F.lit(None).cast("string").alias("parent"))
+        s = self.structs.select(F.lit(1 << 41).alias("unit_ord"), "id", F.lit("Struct").alias("kind"), "file", "start_line", "end_line", zero.alias("params"), zero.alias("branches"), zero.alias("cognitive_complexity"), zero.alias("max_scope_lines"), F.substring_index("id", "::", 1).alias("parent"))
         return m.unionByName(f).unionByName(s)
 
     @cached_property
@@ -139,7 +150,8 @@ class Tables:
         none = F.array().cast("array<string>")
         per = self.fields.groupBy("id", "parent").agg(F.collect_list(F.when(F.col("access") == "read", F.col("field"))).alias("reads"), F.collect_list(F.when(F.col("access") == "write", F.col("field"))).alias("writes"))
         m = self.methods.select("id", "parent", F.col("unit_key").alias("unit_ord"), F.lit("Method").alias("kind"))
-        return m.join(per, ["id", "parent"], "left").withColumns({"reads": F.coalesce("reads", none), "writes": F.coalesce("writes", none), "calls": none})
+        called = self.siblings.select("id", F.array("call").alias("calls"))
+        return m.join(per, ["id", "parent"], "left").join(called, "id", "left").withColumns({"reads": F.coalesce("reads", none), "writes": F.coalesce("writes", none), "calls": F.coalesce("calls", none)})
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -149,6 +161,18 @@ class Tables:
 
         return toks.select(F.concat(F.lit("doc"), "doc_id").alias("file"), (F.row_number().over(W.partitionBy("doc_id").orderBy("line", "col")) - 1).cast("bigint").alias("pos"), "value", "line", F.col("col").cast("bigint").alias("col"))
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """Units of the documents: each as a whole, every other five lines of it, and a module that nothing is counted for."""
+        from plumbline.operators.duplication import whole_files
+
+        whole = whole_files(self.tokens)
+        block = F.floor((F.col("line") - 1) / 5)
+        parts = self.tokens.select("file", block.alias("k")).distinct().where("k % 2 = 0")
+        parts = parts.select(F.concat("file", F.lit("::b"), "k").alias("id"), "file", (F.col("k") * 5 + 1).alias("start_line"), (F.col("k") * 5 + 5).alias("end_line"), F.lit("Function").alias("kind"))
+        modules = whole.select(F.concat("file", F.lit("::mod")).alias("id"), "file", F.col("start_line") + 1, "end_line", F.lit("Module").alias("kind"))
+        return whole.unionByName(parts).unionAll(modules)
+
     @cached_property
     def nested(self) -> DataFrame:
         return self.sql(NESTED).withColumn("kind", F.lit("Function"))

@@ -80,7 +80,7 @@ FRAGMENTS = DUCK | {
     "x_units": """
 SELECT unit_key AS unit_ord, id, 'Method' AS kind, file, start_line, end_line, params, branches, cognitive_complexity, max_scope_lines, parent FROM {a_methods}
 UNION ALL SELECT 1099511627776 + unit_key, id, 'Function', file, 1, 1, 0, 0, 0, 0, NULL FROM {a_functions}
-UNION ALL SELECT 2199023255552, id, 'Struct', file, start_line, end_line, 0, 0, 0, 0, NULL FROM {a_structs}""",
+UNION ALL SELECT 2199023255552, id, 'Struct', file, start_line, end_line, 0, 0, 0, 0, split_part(id, '::', 1) FROM {a_structs}""",
     "x_cx": "SELECT id, end_line - start_line + 1 AS size, params, branches + 1 AS cyclomatic, cognitive_complexity AS cognitive, max_scope_lines AS max_scope FROM {x_units} WHERE kind IN ('Function', 'Method')",
     "x_complexity": " UNION ALL ".join(f"SELECT '{m}' AS metric, id, CAST({c} AS BIGINT) AS value FROM {{x_cx}}" for m, c in (("function_size", "size"), ("params", "params"), ("cyclomatic", "cyclomatic"), ("cognitive", "cognitive"), ("max_scope", "max_scope"))),
     "x_index": f"""
@@ -106,7 +106,7 @@ FROM {x_exact} e JOIN {x_same} s USING (id, file, call) JOIN {x_name} n USING (i
 SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (
   SELECT id, 0 AS i, 0 AS o FROM {x_units} UNION ALL SELECT dst, 1, 0 FROM {x_edges} UNION ALL SELECT src, 0, 1 FROM {x_edges}) GROUP BY id""",
     "x_mps": "SELECT id, CAST(sum(n) AS BIGINT) AS value FROM (SELECT id, 0 AS n FROM {x_units} WHERE kind = 'Struct' UNION ALL SELECT parent, 1 FROM {x_units} WHERE kind = 'Method') GROUP BY id",
-    "x_link": "SELECT DISTINCT a.id AS a, b.id AS b FROM {a_fields} a JOIN {a_fields} b ON a.parent = b.parent AND a.field = b.field",
+    "x_link": "SELECT DISTINCT a.id AS a, b.id AS b FROM {a_fields} a JOIN {a_fields} b ON a.parent = b.parent AND a.field = b.field UNION SELECT s.id, m.id FROM {a_siblings} s JOIN {a_methods} m ON m.unit_key = s.before UNION SELECT m.id, s.id FROM {a_siblings} s JOIN {a_methods} m ON m.unit_key = s.before",
     "x_reach": "SELECT id AS a, id AS b FROM {a_methods} UNION SELECT r.a, l.b FROM x_reach r JOIN {x_link} l ON r.b = l.a",
     "x_lcom": "SELECT parent AS id, CAST(count(DISTINCT least_id) AS BIGINT) AS value FROM (SELECT m.parent, m.id, min(r.b) AS least_id FROM {a_methods} m JOIN {x_reach} r ON r.a = m.id GROUP BY ALL) GROUP BY parent",
     "x_loc": "SELECT file AS id, max(end_line) AS value FROM {x_units} GROUP BY file",
@@ -128,7 +128,10 @@ WHERE NOT EXISTS (SELECT 1 FROM {x_maximal} o WHERE o.file_a = c.file_a AND o.fi
   AND c.start_line_a >= o.start_line_a AND c.end_line_a <= o.end_line_a AND c.start_line_b >= o.start_line_b AND c.end_line_b <= o.end_line_b
   AND (c.start_line_a <> o.start_line_a OR c.end_line_a <> o.end_line_a OR c.start_line_b <> o.start_line_b OR c.end_line_b <> o.end_line_b))""",
     "x_dup_lines": "SELECT DISTINCT file, unnest(range(s, e + 1)) AS line FROM (SELECT file_a AS file, start_line_a AS s, end_line_a AS e FROM {x_clones} UNION ALL SELECT file_b, start_line_b, end_line_b FROM {x_clones})",
-    "x_pct": "SELECT file || '::all' AS id, coalesce(n, 0) * 100.0::DOUBLE / lines AS pct FROM (SELECT file, max(line) AS lines FROM {b_tokens} GROUP BY file) f LEFT JOIN (SELECT file, count(*) AS n FROM {x_dup_lines} GROUP BY file) d USING (file)",
+    "x_pct": """
+SELECT file || '::all' AS id, coalesce(n, 0) * 100.0::DOUBLE / lines AS pct FROM (SELECT file, max(line) AS lines FROM {b_tokens} GROUP BY file) f LEFT JOIN (SELECT file, count(*) AS n FROM {x_dup_lines} JOIN {x_last} USING (file) WHERE (line - 1) // 5 % 2 = 1 OR last <= 5 GROUP BY file) d USING (file)
+UNION ALL SELECT file || '::b' || k, coalesce(n, 0) * 100.0::DOUBLE / 5 FROM (SELECT DISTINCT file, (line - 1) // 5 AS k FROM {b_tokens} WHERE (line - 1) // 5 % 2 = 0) f LEFT JOIN (SELECT file, (line - 1) // 5 AS k, count(*) AS n FROM {x_dup_lines} JOIN {x_last} USING (file) WHERE last > 5 GROUP BY ALL) d USING (file, k)""",
+    "x_last": "SELECT file, max(line) AS last FROM {b_tokens} GROUP BY file",
     "x_owner": """
 SELECT file, line, arg_min(id, (len, id)) AS owner FROM (
   SELECT p.file, p.line, u.id, {'a': u.end_line - u.start_line, 'b': u.id} AS k, u.end_line - u.start_line AS len FROM (SELECT file, line FROM {c_lines} UNION SELECT file, line FROM {c_branches}) p
@@ -158,7 +161,7 @@ LEFT JOIN (SELECT owner AS id, count(*) FILTER (taken = 0) AS uncov FROM {c_bran
     "x_rows": "SELECT metric, symbol, value, bucket, severity, collect_ord, dist_rank FROM {x_scored} WHERE NOT hidden",
     "x_ignored": "SELECT concat('crate', c_nationkey, '::cust::C', c_custkey) AS symbol, CASE c_custkey % 2 WHEN 0 THEN 'lcom' ELSE 'methods_per_struct' END AS metric FROM customer WHERE c_custkey % 5 = 0",
     "x_changed": "SELECT DISTINCT u.id, u.file, u.parent FROM {x_units} u JOIN {d_changed} c ON c.file = u.file AND c.start_line <= u.end_line AND u.start_line <= c.end_line",
-    "x_scope": "SELECT DISTINCT id FROM (SELECT id FROM {x_changed} UNION ALL SELECT parent FROM {x_changed} WHERE parent IS NOT NULL)",
+    "x_scope": "SELECT DISTINCT id FROM (SELECT id FROM {x_changed} UNION ALL SELECT parent FROM {x_changed} WHERE parent IS NOT NULL UNION ALL SELECT u.parent FROM {x_units} u JOIN {x_changed} c ON u.id = c.parent AND u.file = c.file WHERE u.parent IS NOT NULL)",
     "x_scoped": "SELECT metric, id, value FROM {x_dist} WHERE metric IN ('fan_in', 'fan_out', 'function_size', 'params', 'cyclomatic', 'cognitive', 'max_scope', 'methods_per_struct') AND id IN (SELECT id FROM {x_scope}) OR metric = 'file_loc' AND id IN (SELECT file FROM {x_units} WHERE file IN (SELECT file FROM {d_changed}))",
 }
 FRAGMENTS["x_owner"] = """
@@ -213,9 +216,10 @@ ORACLES = {
     "fan_out_dist": sql("SELECT 'fan_out' AS metric, id, fan_out AS value FROM {x_fan}"),
     "fan_summary": sql("SELECT max(fan_in) AS fan_in_max, avg(fan_in) AS fan_in_mean, max(fan_out) AS fan_out_max, avg(fan_out) AS fan_out_mean FROM {x_fan}"),
     "dag_density": sql("SELECT n AS nodes, e AS edges, e / (n - 1) AS dag_density FROM (SELECT (SELECT count(*) FROM {x_units}) AS n, (SELECT count(*) FROM {x_edges}) AS e)"),
-    "hubs": sql("SELECT id, fan_in, fan_out FROM {x_fan} WHERE fan_in >= 10 AND fan_out >= 0"),
+    "hubs": sql("SELECT id, fan_in, fan_out FROM {x_fan} WHERE fan_in >= 10 AND fan_out >= 3"),
     "methods_per_struct": sql("SELECT 'methods_per_struct' AS metric, id, value FROM {x_mps}"),
     "lcom4": sql("SELECT 'lcom' AS metric, id, value FROM {x_lcom}"),
+    "lcom4_large": sql("SELECT 'lcom' AS metric, id, value FROM {x_lcom}"),
     "file_loc": sql("SELECT 'file_loc' AS metric, id, value FROM {x_loc}"),
     "file_loc_summary": sql(_summary("(SELECT 'file_loc' AS metric, value FROM {x_loc})", ("file_loc",))),
     "token_stream": sql("SELECT file, pos, value, line FROM {b_tokens}"),
@@ -233,7 +237,10 @@ FROM (SELECT pct, row_number() OVER (ORDER BY pct) AS rn, count(*) OVER () AS n
     "line_cov": sql("SELECT 'line_cov' AS metric, id, line_cov AS value FROM {x_cov}"),
     "uncov_branches": sql("SELECT 'uncov_branches' AS metric, id, uncov_branches AS value FROM {x_cov}"),
     "coverage_counters": sql("SELECT (SELECT count(*) FROM {x_cov}) AS units_analyzed, (SELECT count(*) FILTER (total = 0) FROM {x_cov}) AS units_without_data, (SELECT count(DISTINCT file) FROM {c_lines}) AS lcov_files_total, (SELECT count(DISTINCT file) FROM {c_lines} WHERE file IN (SELECT file FROM {c_units})) AS lcov_files_matched, true AS has_branches"),
-    "coverage_warnings": sql("SELECT 'units_without_data' AS warning FROM (SELECT count(*) AS n, count(*) FILTER (total = 0) AS m FROM {x_cov}) WHERE 2 * m >= n"),
+    "coverage_warnings": sql("""
+SELECT 'as it is' AS report, 'units_without_data' AS warning FROM (SELECT count(*) AS n, count(*) FILTER (total = 0) AS m FROM {x_cov}) WHERE 2 * m >= n
+UNION ALL SELECT 'a quarter', 'units_without_data' FROM (SELECT count(*) AS n, count(*) FILTER (total = 0 OR CAST(regexp_extract(id, '^u([0-9]+)', 1) AS BIGINT) % 4 <> 0) AS m FROM {x_cov}) WHERE 2 * m >= n
+UNION ALL SELECT 'elsewhere', unnest(['no_file_matches', 'no_branch_records']) FROM (SELECT count(*) AS n FROM {c_lines}) WHERE n > 0"""),
     "diff_parse": sql("SELECT file, false AS whole_file, start_line, CASE WHEN end_line < start_line THEN start_line + 1 ELSE end_line END AS end_line FROM {d_changed}"),
     "changed_units": sql("SELECT id, file FROM {x_changed}"),
     "scope_closure": sql("SELECT id FROM {x_scope}"),
@@ -241,7 +248,7 @@ FROM (SELECT pct, row_number() OVER (ORDER BY pct) AS rn, count(*) OVER () AS n
     "delegator_rows": sql(_code_rows + " WHERE metric = 'fan_out'"),
     "dispatcher_rows": sql(_code_rows + " WHERE metric = 'cyclomatic'"),
     "wide_signature_rows": sql(_code_rows + " WHERE metric = 'params'"),
-    "hub_rows": sql("SELECT metric, symbol, value, bucket, severity FROM {x_code_scored} WHERE metric = 'fan_in' AND CAST(value AS BIGINT) >= 10"),
+    "hub_rows": sql(_code_rows + " WHERE metric = 'fan_in'"),
     "ignores_filtered": sql(_rows + " r WHERE metric IN ('lcom', 'methods_per_struct') AND NOT EXISTS (SELECT 1 FROM {x_ignored} i WHERE i.symbol = r.symbol AND i.metric = r.metric)"),
     "disabled_pruned": sql(_rows + " WHERE metric NOT IN ('cyclomatic', 'file_loc', 'duplication_pct')"),
     "metric_rows_all": sql(_rows),

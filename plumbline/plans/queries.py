@@ -19,8 +19,6 @@ from plumbline.store import stored
 
 K = 50
 CONFIG = Config()
-#: Units of the adapter that are called call nothing: hubs without calls of their own.
-OPEN_HUBS = Config(hub_min_fan_out=0)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -40,7 +38,7 @@ def fans(t: Tables) -> DataFrame:
 
 
 def all_distributions(t: Tables, fan: DataFrame) -> DataFrame:
-    pct = duplication.duplication(clones.find_clones(t.tokens, K), duplication.whole_files(t.tokens))
+    pct = duplication.duplication(clones.find_clones(t.tokens, K), t.blocks)
     covered = coverage.coverage(t.nested, t.lines, t.branches)
     parts = [complexity.complexity_distribution(t.code), structural.fan_distribution(fan, "fan_in"), structural.fan_distribution(fan, "fan_out"), structs.methods_per_struct(t.code), structs.lcom4(t.cohesion), complexity.file_loc(t.code), coverage.coverage_distribution(covered)]
     plain = reduce(DataFrame.unionByName, parts).withColumn("raw", F.col("value").cast("double"))
@@ -154,7 +152,7 @@ def dag_density(t):
 
 @query
 def hubs(t):
-    return structural.hubs(fans(t), OPEN_HUBS)
+    return structural.hubs(fans(t), CONFIG)
 
 
 @query
@@ -172,6 +170,12 @@ def lcom4(t):
     return structs.lcom4(t.cohesion)
 
 
+@query
+def lcom4_large(t):
+    """Grouped as structs of many methods are."""
+    return structs.lcom4(t.cohesion, fold=4)
+
+
 @query
 def file_loc(t):
     return complexity.file_loc(t.code)
@@ -214,13 +218,13 @@ def clones_unsubsumed(t):
 
 @query
 def duplication_pct(t):
-    return duplication.duplication(clones.find_clones(t.tokens, K), duplication.whole_files(t.tokens))
+    return duplication.duplication(clones.find_clones(t.tokens, K), t.blocks)
 
 
 @query
 def duplication_summary(t):
     found = clones.find_clones(t.tokens, K)
-    return duplication.duplication_summary(duplication.duplication(found, duplication.whole_files(t.tokens)), found)
+    return duplication.duplication_summary(duplication.duplication(found, t.blocks), found)
 
 
 def _reports(t: Tables) -> DataFrame:
@@ -259,7 +263,11 @@ def coverage_counters(t):
 
 @query
 def coverage_warnings(t):
-    return coverage.warnings(coverage.counters(t.nested, t.lines, t.branches))
+    """Of the report as it is, of one with a quarter of the files, and of one of other files without branches."""
+    moved = lambda d: d.withColumn("file", F.concat(F.lit("elsewhere/"), "file"))
+    few = lambda d: d.where(F.regexp_extract("file", "u([0-9]+)", 1).cast("long") % 4 == 0)
+    found = {"as it is": (t.lines, t.branches), "a quarter": (few(t.lines), few(t.branches)), "elsewhere": (moved(t.lines), t.branches.limit(0))}
+    return reduce(DataFrame.unionAll, [coverage.warnings(coverage.counters(t.nested, *cov)).select(F.lit(name).alias("report"), "warning") for name, cov in found.items()])
 
 
 @query
@@ -304,7 +312,7 @@ def wide_signature_rows(t):
 
 @query
 def hub_rows(t):
-    return code_rows(t, "fan_in", OPEN_HUBS)
+    return code_rows(t, "fan_in")
 
 
 @query
