@@ -503,12 +503,16 @@ def test_compact_windows_hold_the_least_hash():
     c, v, left, right = substrings.compact_windows(a, np.uint64(5))
     from plumbline.llm._text import mix
 
-    h = mix(a ^ np.uint64(5))
+    h = mix(a ^ np.uint64(5)) | np.uint64(1)
     assert (h[c] == v).all()
     for k, lo, hi in zip(c, left, right):
         assert h[max(0, k - lo) : k + hi + 1].min() == h[k]
     least = {int(j + h[j : j + substrings.LEAST].argmin()) for j in range(len(h) - substrings.LEAST + 1)}
     assert least == set(c.tolist())
+    cuts = [0, 30, 80, 126, 300, 400]
+    both = substrings.compact_windows(a, np.uint64(5), np.repeat(np.arange(5), np.diff(cuts)))
+    each = [substrings.compact_windows(a[i:j], np.uint64(5)) for i, j in zip(cuts, cuts[1:])]
+    assert all((x == np.concatenate([e[k] + (i if k == 0 else 0) for e, i in zip(each, cuts)])).all() for k, x in enumerate(both))
 
 
 # 7 near duplicates
