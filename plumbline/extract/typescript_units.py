@@ -2,14 +2,15 @@
 
 There is no grammar here: statements are told by their keywords, blocks by their
 brackets, functions by `function`, `=>` and the shape of class members. Regular
-expression literals and JSX text are read as tokens.
+expressions are masked first; JSX text is read as tokens.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-from .lexers import TYPESCRIPT, Lexer
+from .lexers import TYPESCRIPT, Lexer, _template_end
 
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 LOOPS = ("for", "while", "do")
@@ -22,6 +23,31 @@ ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".spli
 NOT_TERNARY = frozenset(") , : = ; ] }".split())
 
 
+_PIECES = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[\w$]+|\s+|.""", re.S)
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+#: Words after which a slash begins a regular expression.
+_BEFORE_REGEX = frozenset("await case delete do else in instanceof new of return throw typeof void yield".split())
+
+
+def mask_regexes(source: str) -> str:
+    """Regular-expression literals as strings of the same length: their brackets and quotes match nothing."""
+    out, at, before = [], 0, ""
+    while at < len(source):
+        m = _PIECES.match(source, at)
+        piece = m[0]
+        if piece == "`":
+            piece = source[at : _template_end(source, at + 1)]
+        elif piece == "/" and (before in _BEFORE_REGEX or not before or not (before[-1].isalnum() or before[-1] in "_$)]}\"'`")):
+            found = _REGEX.match(source, at)
+            if found:
+                piece = '"' + "x" * (len(found[0]) - 2) + '"'
+        out.append(piece)
+        at += len(piece)
+        if not piece.isspace() and not piece.startswith(("//", "/*")):
+            before = piece
+    return "".join(out)
+
+
 class Source:
     """Tokens with their places, matched brackets, and what is measured on a range of them."""
 
@@ -30,7 +56,7 @@ class Source:
         self.t: list[str] = []
         self.kind: list[str] = []
         self.at: list[tuple[int, int, int, int]] = []
-        for kind, tok, line, col in lexer.raw(text):
+        for kind, tok, line, col in lexer.raw(mask_regexes(text) if lexer is TYPESCRIPT else text):
             rows = tok.count("\n")
             self.t.append(tok)
             self.kind.append(kind)

@@ -72,3 +72,10 @@ def test_table(spark):
     files = spark.createDataFrame([("a.ts", SOURCE), ("b.py", "def f(): pass"), ("k/tests/c.rs", "fn r() { c::s() }"), ("m.c", "x"), ("d.js", "function f( {")], "path string, content string")
     assert {r["id"] for r in source_units(files).where("file <> 'a.ts'").collect()} == {"b::f", "k::tests::c::r"} and source_units(files).count() == 11
     assert source_units(files).where("file = 'k/tests/c.rs'").first()["calls"] == ["k::tests::c::s"]
+
+
+def test_regular_expressions_hold_no_brackets():
+    source = "export function a(x: string) {\n  if (/[({`'\"]/.test(x)) {\n    return x.replace(/\\/{2}/g, '/') + 6 / 2 / 1;\n  }\n  return x;\n}\nfunction b(y) { return y / 2 }\n"
+    found = {u["id"].split("::")[1]: u for u in T.units(source, "r.ts")}
+    assert set(found) == {"a", "b"} and found["a"]["end_line"] == 6 and found["a"]["branches"] == 1
+    assert len(T.mask_regexes(source)) == len(source)
