@@ -129,6 +129,21 @@ def test_nearest(spark):
     assert len(few) == 6 and neighbours.nearest(d.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_in_leaves_with_trees_of_their_own(spark, monkeypatch):
+    for name, value in (("SAMPLE", 60), ("LEAF", 20), ("SPLIT", 50), ("CHUNK", 40)):
+        monkeypatch.setattr(neighbours, name, value)
+    monkeypatch.setattr(neighbours.Tree.__init__, "__defaults__", (8, 4, 1))
+    rng = np.random.default_rng(27)
+    x = rng.normal(size=(12, 6)).repeat(100, axis=0) * 3 + rng.normal(size=(1200, 6))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(d, F.col("_v") % 25 == 0).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    found = sum(len(set(got[q]) & set(np.argsort(np.where(np.arange(1200) == q, np.inf, ((x - x[q]) ** 2).sum(1)), kind="stable")[:10].tolist())) for q in range(0, 1200, 25))
+    print("recall", found / 480)
+    assert all(len(v) == len(set(v)) == 10 for v in got.values()) and found >= 0.9 * 480
+
+
 def test_nearest_of_vectors_as_large_and_as_small_as_doubles(spark):
     rng = np.random.default_rng(22)
     x = rng.normal(size=(40, 6))
