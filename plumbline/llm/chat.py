@@ -9,10 +9,11 @@ from ._store import stored
 #: Turns of a conversation are numbered and hashed in blocks of so many turn values, so that one task holds one block of a long conversation at most.
 BLOCK = 1024
 _LAST = (1 << 62) - 1
+_HASH = ["_h0", "_h1", "_h2", "_h3"]
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """Each turn with its position from 1, the number of turns, and a hash of all turns up to it (two sums of 32-bit halves of a hash of position, role and text)."""
+    """Each turn with its position from 1, the number of turns, and a hash of all turns up to it: sums of the 32-bit halves of two hashes of position, role and text."""
     t = turns.select(
         F.col("conv_id").alias("_c"), F.col("turn").alias("_turn"), F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(_LAST)).alias("_block")
     )
@@ -23,11 +24,12 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     names = ["_k", "_null", "_block"]
     counts = t.groupBy(*names).count().select(*names, F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_skip"), F.sum("count").over(own).alias("_n"))
     t = t.withColumn("_rn", F.row_number().over(inside)).join(counts, names).withColumn("_pos", F.col("_skip") + F.col("_rn"))
-    h = F.xxhash64("_pos", "_role", "_text")
-    t = t.withColumns({"_hi": F.shiftrightunsigned(h, 32), "_lo": h.bitwiseAND(F.lit(0xFFFFFFFF))})
-    sums = t.groupBy(*names).agg(F.sum("_hi").alias("_a"), F.sum("_lo").alias("_b")).select(*names, F.coalesce(F.sum("_a").over(upto), F.lit(0)).alias("_ha"), F.coalesce(F.sum("_b").over(upto), F.lit(0)).alias("_hb"))
+    one, two = F.xxhash64("_pos", "_role", "_text"), F.xxhash64(F.lit(1), "_text", "_role", "_pos")
+    halves = {"_h0": F.shiftrightunsigned(one, 32), "_h1": one.bitwiseAND(F.lit(0xFFFFFFFF)), "_h2": F.shiftrightunsigned(two, 32), "_h3": two.bitwiseAND(F.lit(0xFFFFFFFF))}
+    t = t.withColumns(halves)
+    sums = t.groupBy(*names).agg(*[F.sum(c).alias(f"{c}b") for c in halves]).select(*names, *[F.coalesce(F.sum(f"{c}b").over(upto), F.lit(0)).alias(f"{c}b") for c in halves])
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
-    return t.withColumns({"_hi": F.sum("_hi").over(so_far), "_lo": F.sum("_lo").over(so_far)}).join(sums, names).withColumns({"_hi": F.col("_hi") + F.col("_ha"), "_lo": F.col("_lo") + F.col("_hb")})
+    return t.withColumns({c: F.sum(c).over(so_far) for c in halves}).join(sums, names).withColumns({c: F.col(c) + F.col(f"{c}b") for c in halves})
 
 
 def format_chats(turns: DataFrame, template: str = "<|{role}|>\n{text}<|end|>\n") -> DataFrame:
@@ -37,11 +39,13 @@ def format_chats(turns: DataFrame, template: str = "<|{role}|>\n{text}<|end|>\n"
     a longer one, or equal another one with a smaller conv_id. Turns stay rows,
     so no conversation has to fit in one; `render` joins those that do. Null
     turn: after all others. Null role or text: empty. Null conv_id: one
-    conversation. Turns of one number: ordered by role, then text. No rows: no
-    rows. Other columns are left out.
+    conversation. Turns of one number: ordered by role, then text, those of one
+    conversation in one task. Very long texts are never joined unless `render`
+    does it; repeated turns count as often as they stand. No rows: no rows.
+    Other columns are left out.
     """
-    t = stored(prefix_hashes(turns).select("_c", "_k", "_null", "_pos", "_n", "_hi", "_lo", "_role", "_text"))
-    same = ["_pos", "_hi", "_lo"]
+    t = stored(prefix_hashes(turns).select("_c", "_k", "_null", "_pos", "_n", *_HASH, "_role", "_text"))
+    same = ["_pos", *_HASH]
     longest = t.where(F.col("_pos") == F.col("_n")).groupBy(*same).agg(F.min(F.struct("_null", "_c", "_k")).alias("_kept"))
     inner = t.where(F.col("_pos") < F.col("_n")).select(*same).distinct()
     kept = longest.join(inner, same, "left_anti").select(F.col("_kept._k").alias("_k"), F.col("_kept._null").alias("_null"))
