@@ -25,6 +25,13 @@ def content_hashes(h: np.ndarray, upto: np.ndarray, raw: np.ndarray, off: np.nda
     return out
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have yet."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def marked(docs: DataFrame, text: str, name: str) -> DataFrame:
     """`docs` with a column of that name: the 16 bytes of each row's content."""
     position = docs.columns.index(text)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.ship import ship
 
-from ._contents import content_hashes, keys_repeat, marked, spans_length
+from ._contents import content_hashes, keys_repeat, marked, spans_length, unused
 from ._store import stored
 from ._text import grams, mix, slices, sliding, words
 
@@ -107,7 +107,7 @@ def _windows(rows: DataFrame, made: DataFrame, found: DataFrame) -> DataFrame:
     """(c, first, n, w1, w2): the windows of each content in `made` (of `rows`: d, text) that hold one of its `found` (c, place) fingerprints."""
     places = stored(found.groupBy("c").agg(F.collect_set("place").alias("places")))
     one = places.select("c").join(made.groupBy("c").agg(F.min("d").alias("_one")), "c").select("_one").distinct()
-    texts = rows.join(one, rows["d"].eqNullSafe(F.col("_one")), "left_semi").select("text").mapInArrow(_texts, "c binary, text string")
+    texts = rows.join(one, rows["d"].eqNullSafe(one["_one"]), "left_semi").select("text").mapInArrow(_texts, "c binary, text string")
     return stored(texts.join(places, "c").mapInArrow(_extended, "c binary, first int, n int, w1 long, w2 long").distinct())
 
 
@@ -167,9 +167,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     found = stored(judged(_found(*_sides(docs, benchmark, key, text, item_key, item_text))).select("d", "c", "contaminated"))
     bad = found.where("contaminated").select(F.col("d").alias("_d"), F.col("c").alias("_c")).distinct()
     if not keys_repeat(found):
-        return docs.join(bad, docs[key] == F.col("_d"), "left_anti")
-    rows = marked(docs, text, "_c1")
-    return rows.join(bad, rows[key].eqNullSafe(F.col("_d")) & (F.col("_c1") == F.col("_c")), "left_anti").drop("_c1")
+        return docs.join(bad, docs[key] == bad["_d"], "left_anti")
+    content = unused(docs, "_c1")
+    rows = marked(docs, text, content)
+    return rows.join(bad, rows[key].eqNullSafe(bad["_d"]) & (rows[content] == bad["_c"]), "left_anti").drop(content)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -65,13 +65,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: f
     hashes = stored(docs.select(F.col(source).alias("_source"), hashed.alias("_h"), counted.alias("_size")).groupBy("_source", "_h").agg(F.count("*").alias("_n"), F.min("_size").alias("_size")))
     plan, n = _plan(hashes, weights, epochs)
 
-    rows = docs.select(*own, counted.alias("size"), hashed.alias("_h")).join(_near(plan, n), docs[source].eqNullSafe(F.col("_source")))
+    # the columns of the documents travel as one, apart from those of the plan
+    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("_own"), docs[source].alias("_s"), counted.alias("_size"), hashed.alias("_h")).join(_near(plan, n), F.col("_s").eqNullSafe(F.col("_source"))).drop("_s")
     part = (F.col("_h") == F.col("_edge")) | (F.col("_h") == F.col("_one"))
     take = F.when(F.col("_h") == F.col("_edge"), F.col("_edge_take")).otherwise(1)
     of = F.when(F.col("_h") == F.col("_edge"), F.col("_edge_n")).otherwise(F.col("_one_n"))
     rows = rows.withColumns({"_take": F.when(part, take).when(F.col("_h") <= F.col("_cut"), 1).otherwise(0), "_of": F.when(part, of).otherwise(1)})
     split = (F.col("_take") > 0) & (F.col("_take") < F.col("_of"))
-    result = lambda d, more: d.select(*own, "size", F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * (F.col("_whole") + more)).cast("long").alias("taken"))
+    result = lambda d, more: d.select("_own.*", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * (F.col("_whole") + more)).cast("long").alias("taken"))
     out = result(rows.where(~split), F.least("_take", F.lit(1)))
     edge_split, one_split = (F.col("_edge_take") > 0) & (F.col("_edge_take") < F.col("_edge_n")), F.col("_one_n") > 1
     if plan.where(F.coalesce(edge_split, F.lit(False)) | F.coalesce(one_split, F.lit(False))).isEmpty():

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from plumbline.ship import ship
 
 from ._components import components
-from ._contents import content_hashes, keys_repeat, marked
+from ._contents import content_hashes, keys_repeat, marked, unused
 from ._store import stored
 from ._text import ALNUM, grams, mix, slices, words
 
@@ -390,12 +390,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = _classes(docs, key, text, spark)
     first = found.groupBy("root").agg(F.min(F.struct("d", "c")).alias("x")).select(F.col("x.d").alias("_d"), F.col("x.c").alias("_c"))
     if not keys_repeat(found):
-        return docs.join(first, docs[key] == F.col("_d"), "left_semi")
+        return docs.join(first, docs[key] == first["_d"], "left_semi")
     # keys repeat or are null: a row is known by its key and content
-    rows = marked(docs, text, "_c1")
-    kept = rows.join(first, rows[key].eqNullSafe(F.col("_d")) & (F.col("_c1") == F.col("_c")))
-    one = W.partitionBy("_d", "_c").orderBy(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    return kept.withColumn("_i", F.row_number().over(one)).where("_i = 1").select(*docs.columns)
+    content, number = unused(docs, "_c1"), unused(docs, "_i")
+    rows = marked(docs, text, content)
+    kept = rows.join(first, rows[key].eqNullSafe(first["_d"]) & (rows[content] == first["_c"]))
+    one = W.partitionBy(first["_d"], first["_c"]).orderBy(F.md5(F.coalesce(rows[text], F.lit(""))))
+    return kept.select(*[rows[c] for c in docs.columns], F.row_number().over(one).alias(number)).where(F.col(number) == 1).drop(number)
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
