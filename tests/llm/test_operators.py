@@ -202,6 +202,48 @@ def test_license_phrases_against_brute_force(spark):
         assert r["n_base"] == sum(ws[i : i + len(p.split())] == p.split() for p in licenses.PHRASES for i in range(len(ws)))
 
 
+def plain_notices(text):
+    """Labels and score by trying every notice at every place."""
+    ws, labels, best = split(text), set(), 0.0
+    has = lambda part, key: any(part[i : i + len(key)] == key for i in range(len(part) - len(key) + 1))
+    for phrase, label in licenses.PHRASES.items():
+        if has(ws, phrase.split()):
+            labels.add(label)
+            best = 1.0
+    for label, notice, keys in licenses.TEMPLATES:
+        own = split(notice)
+        for s in range(len(ws)):
+            share = sum(a == b for a, b in zip(own, ws[s : s + len(own)])) / len(own)
+            if share >= licenses.SHARE and all(has(ws[max(0, s - 2) : s + len(own) + 2], split(k)) for k in keys):
+                labels.add(label)
+                best = max(best, share)
+    return sorted(labels), best
+
+
+def test_notices_against_every_place():
+    rng = random.Random(61)
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in split(t[1])})
+    for n in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = split(rng.choice(licenses.TEMPLATES)[1])
+            for _ in range(rng.choice([0, 0, 1, 3, len(w) // 3])):
+                w[rng.randrange(len(w))] = rng.choice([*vocabulary, "x"])
+            parts += [*w[: rng.choice([len(w), len(w), len(w) * 2 // 3])], *(rng.choice(vocabulary) for _ in range(rng.randint(0, 12)))]
+        text = " ".join(parts)
+        idf = {w: rng.random() for w in vocabulary}
+        got = licenses.Index(idf=idf).scan(text)
+        labels, best = plain_notices(text)
+        assert got[5] == labels and math.isclose(got[6], best, abs_tol=1e-12), text
+
+
+def test_licenses_of_long_and_repeated_texts(spark):
+    text = "word " * 60_000 + "Released under the MIT License. " + "word " * 1000 + "all rights reserved"
+    d = spark.createDataFrame([(1, text), (1, text), (2, "x")], "doc_id long, text string").withColumn("score", F.lit("y"))
+    rows = [tuple(r) for r in licenses.scan_licenses(d).orderBy("doc_id").collect()]
+    assert rows[0] == rows[1] and rows[0][1:5] == (61_008, 1, 61_005, 61_005) and rows[0][6] == ["mit", "reserved"] and rows[2][6] == []
+
+
 # 4 toxicity
 
 
@@ -685,7 +727,7 @@ def test_mixing(spark):
 
 def test_mixing_of_equal_rows(spark):
     rng = random.Random(51)
-    rows = [(None, "w " * 100, "a")] * 400 + [(i, "w " * rng.randint(1, 9), "b") for i in range(3000)] + [(7, "x " * 40, "c")] * 300 + [(None, None, None)] * 5
+    rows = [(None, "w " * 100, "a")] * 400 + [(i, "w " * rng.randint(1, 9), "b") for i in range(3000)] + [(7, "x " * 40, "c")] * 300 + [(None, None, None)] * 5 + [(9, "long " * 60_000, "d"), (8, "x", "d")]
     d = spark.createDataFrame(rows, DOCS).repartition(6)
     got = mixing.mix_sources(d).toPandas()
     assert len(got) == len(rows)
