@@ -117,7 +117,7 @@ def sliding(a: np.ndarray, w: int, op=np.minimum) -> np.ndarray:
 
 def lower(text: str) -> str:
     """Lower-cases A-Z only."""
-    return text.translate(_LOWER_TABLE)
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).decode("utf-8", "surrogatepass")
 
 
-_LOWER_TABLE = {c: c + 32 for c in range(65, 91)}
+_LOWER_BYTES = LOWER.tobytes()

@@ -30,7 +30,7 @@ LEET = {ord(a): b for a, b in zip("013457@$!|+*", "oieastasiit*", strict=True)}
 
 WORD = re.compile(r"[^\x00-\x26\x28-\x2F\x3A-\x60\x7B-\x7F]+")
 RAW = re.compile(r"[^\x20\x09-\x0D]+")
-MIXED = re.compile(r"(?=[^\x20\x09-\x0D]*[A-Za-z])[A-Za-z]+(?:[0-9@$!|+*._-]+[A-Za-z]+)+")
+MIXED = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?:[0-9@$!|+*._-]++[A-Za-z]++)+")
 REPEAT = re.compile(r"([^\s0-9=_.\-*#])\1\1")
 CAPITALS = re.compile(r"\b[A-Z]{2,}\b")
 _KINDS = (frozenset(INSULTS), frozenset(DEROGATORY), frozenset(PROFANITY), frozenset(THREATS))
@@ -44,21 +44,25 @@ TREES, DEPTH, RATE, BINS, NEAR = 80, 3, 0.15, 64, 5
 FOLDS, TASKS = 3, 32
 
 
-def features(text: str | None, *lexicons: dict[str, float]) -> list[list[float]]:
-    """Dense features of a whole text, once for each learned lexicon; a null text is empty."""
+def telling(*lexicons: dict[str, float]) -> frozenset[str]:
+    """All words that features look at."""
+    return _ABUSE.union(SECOND_PERSON, *lexicons)
+
+
+def features(text: str | None, *lexicons: dict[str, float], among: frozenset[str] | None = None) -> list[list[float]]:
+    """Dense features of a whole text, once for each learned lexicon; a null text is empty. among: their `telling` words, where many texts follow."""
     text = text or ""
     found = WORD.findall(lower(text))
     n, chars = max(1, len(found)), max(1, len(text))
     known, second = [], []
-    marks = [[] for _ in lexicons]
-    for i, w in enumerate(found):
+    among = telling(*lexicons) if among is None else among
+    spots = [(i, w) for i, w in enumerate(found) if w in among]
+    for i, w in spots:
         if w in _ABUSE:
             known.append(i)
         elif w in SECOND_PERSON:
             second.append(i)
-        for mark, learned in zip(marks, lexicons, strict=True):
-            if w in learned:
-                mark.append(i)
+    marks = [[i for i, w in spots if w in learned] for learned in lexicons]
     hits = [sum(found[i] in kind for i in known) for kind in _KINDS]
     disguised = masked = 0
     for m in MIXED.finditer(text):
@@ -200,7 +204,8 @@ class Model:
         self.xs, self.ys = isotonic(out, y) if len(y) and y.min() < y.max() else (np.zeros(0), np.zeros(0))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        raw = self.trees.predict(np.array([features(t, self.learned)[0] for t in texts]).reshape(-1, N_FEATURES))
+        among = telling(self.learned)
+        raw = self.trees.predict(np.array([features(t, self.learned, among=among)[0] for t in texts]).reshape(-1, N_FEATURES))
         plain = 1 / (1 + np.exp(-raw))
         if not len(self.xs):
             return plain
@@ -225,10 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     lexicons = learn_lexicons(texts)
 
     def compute(batches):
+        among = telling(*lexicons)
         for batch in batches:
             for i in range(0, batch.num_rows, 100):
                 part = batch.slice(i, 100)
-                rows = [[v for row in features(t, *lexicons) for v in row] for t in part.column(0).to_pylist()]
+                rows = [[v for row in features(t, *lexicons, among=among) for v in row] for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(rows, pa.list_(pa.float64()))], names=["y", "fold", "o", "x"])
 
     rows = texts.mapInArrow(compute, "y int, fold int, o string, x array<double>").toArrow().sort_by("o")
