@@ -25,11 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[sc.applicationId]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: it survives lost executors and is computed once."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read back: it survives lost executors and is computed once. by: columns by whose values its files are parted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/plumbline/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     _made[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -45,6 +45,13 @@ def release(*tables: DataFrame) -> None:
             _delete(spark, path)
 
 
+def release_part(table: DataFrame, part: str) -> None:
+    """Deletes the files of one part (`column=value`) of a stored table, which nothing reads any more."""
+    path = getattr(table, "_stored_at", None)
+    if path in _made:
+        _delete(_made[path], f"{path}/{part}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
