@@ -1,5 +1,5 @@
 """Intermediate tables of this package's operators."""
 
-from plumbline.store import release, shared_dir, stored
+from plumbline.store import release, release_part, shared_dir, stored
 
-__all__ = ["release", "shared_dir", "stored"]
+__all__ = ["release", "release_part", "shared_dir", "stored"]

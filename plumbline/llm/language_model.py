@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.ship import ship
 
-from ._store import stored
+from ._store import release, release_part, stored
 from ._text import NON_SPACE, mix, slices, words
 
 #: Tokens of a block, and bytes of text for each range of hashes.
@@ -252,13 +252,15 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     simple = rows.schema["d"].dataType.simpleString()
     kind = to_arrow_type(rows.schema["d"].dataType)
     fields = f"task long, kind int, range int, keys binary, counts binary, ids array<{simple}>, lengths array<long>, train array<boolean>, stream binary, vocabulary binary"
-    made = stored(rows.mapInArrow(_tokenise(ranges, kind), fields))
-    totals = stored(made.where("kind >= 0").select("kind", "range", "task", "keys", "counts").groupBy("kind", "range").applyInArrow(_totals, "task long, kind int, range int, totals binary, n long, v long"))
+    made = stored(rows.mapInArrow(_tokenise(ranges, kind), fields).withColumn("part", F.when(F.col("kind") < 0, "text").otherwise("keys")), "part")
+    totals = stored(made.where("part = 'keys'").select("kind", "range", "task", "keys", "counts").groupBy("kind", "range").applyInArrow(_totals, "task long, kind int, range int, totals binary, n long, v long"))
+    release_part(made, "part=keys")
     sums = totals.where("task < 0 and kind = 0").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    blocks = made.where("kind < 0").select("task", "ids", "lengths", "train", "stream", "vocabulary").groupBy("task")
+    blocks = made.where("part = 'text'").select("task", "ids", "lengths", "train", "stream", "vocabulary").groupBy("task")
     counts = totals.where("task >= 0").select("task", "kind", "range", "totals").groupBy("task")
     resolved = stored(blocks.cogroup(counts).applyInArrow(_resolve(ranges, kind), f"ids array<{simple}>, lengths array<long>, train array<boolean>, pair binary, word binary, ends long"))
+    release(made, totals)
     cells = resolved.mapInArrow(_histogram, "bucket long, q2 long, q1 long, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
     weights = mixture(cells, n, v)
     out = resolved.mapInArrow(_score(weights, n, v, kind), f"d {simple}, train boolean, n_tokens long, n_known long, base_score double, score double")
