@@ -75,6 +75,28 @@ def test_against_brute_force(spark, seed):
     assert sorted(found(spark, files, 4)) == brute(files, 4)
 
 
+def test_only_windows_that_clones_begin_with_are_sent(spark):
+    block = list(range(2000))
+    t = tokens(spark, {"a": [*block, -1], "b": [-2, *block], "c": [-3, *block[:700], -4, *block[:30], -5]})
+    grams = clones.starts(clones.sequences(t), 50)[0]
+    # of 4,600 windows that repeat
+    assert grams.count() < 200
+    order = ("file_a", "pos_a", "file_b", "pos_b")
+    got = clones.candidates(grams, 50).orderBy(*order).collect()
+    assert len(got) == 3 and got == clones.candidates(clones.windows(t, 50), 50).orderBy(*order).collect()
+    assert sorted(found(spark, {"a": block, "b": [-2, *block]}, 50)) == [("a", 1, 2000, "b", 2, 2001, 2000)]
+
+
+def test_sequences_of_texts_that_share_a_key(spark, tmp_path):
+    from plumbline.plans.adapters import Tables
+
+    spark.createDataFrame([(1, "a b\n\nc_1, a"), (2, ""), (3, None), (4, "x\ny"), (4, "z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tables(spark, str(tmp_path))
+    got = {r["file"]: (r["h"], r["l"]) for r in t.sequences.collect() if r["h"]}
+    want = {r["file"]: (r["h"], r["l"]) for r in clones.sequences(t.tokens.where("file <> 'doc4'")).collect()}
+    assert got.pop("doc4")[1] == [1, 1, 2] and got == want and got["doc1"][1] == [1, 1, 3, 3, 3]
+
+
 def pct(spark, pairs, units):
     c = spark.createDataFrame(pairs, "file_a string, start_line_a bigint, end_line_a bigint, file_b string, start_line_b bigint, end_line_b bigint, token_count bigint")
     u = spark.createDataFrame(units, "id string, file string, start_line bigint, end_line bigint, kind string")
