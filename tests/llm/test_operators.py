@@ -144,6 +144,16 @@ def test_nearest_in_leaves_with_trees_of_their_own(spark, monkeypatch):
     assert all(len(v) == len(set(v)) == 10 for v in got.values()) and found >= 0.9 * 480
 
 
+def test_sample_of_a_table_in_many_parts_sends_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 100)
+    d = spark.range(0, 20_000, 1, 50).select(F.col("id").alias("_v"), F.array(F.col("id").cast("double")).alias("_x"))
+    sent = []
+    monkeypatch.setattr(type(d), "orderBy", lambda self, *by, f=type(d).orderBy: sent.append(self.count()) or f(self, *by))
+    assert neighbours._sample(d.unionAll(d), 20_000).count() == 100
+    # not 100 of each part
+    assert 100 <= sent[0] <= 200
+
+
 def test_nearest_of_vectors_as_large_and_as_small_as_doubles(spark):
     rng = np.random.default_rng(22)
     x = rng.normal(size=(40, 6))
