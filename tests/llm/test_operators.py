@@ -531,6 +531,32 @@ def test_fragments_of_all_lengths_against_brute_force(spark):
     assert [i for i, _ in docs if not hit[i] <= got[i]] == []
 
 
+def test_near_copies_behind_first_texts(spark):
+    rng = random.Random(41)
+    docs, near = [], []
+    for k in range(20):
+        shared = prose(rng, 64).split()
+        changed = [*shared[:20], "changed", *shared[21:]]
+        for j, w in enumerate((shared, changed)):
+            near.append(100 * k + j)
+            docs.append((100 * k + j, f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 30)}"))
+        # texts that hold a part of the passage, and so may be first in the groups of its windows
+        docs += [(100 * k + 2 + j, f"{prose(rng, 40)} {' '.join(shared[j : j + 36])} {prose(rng, 40)}") for j in range(0, 28, 2)]
+    got = {r["doc_id"]: r for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [i for i in near if not got[i]["spans"] and not got[i]["first_spans"]] == []
+    assert sum(bool(got[i]["spans"]) and (i ^ 1) in got[i]["sources"] for i in near) == 20
+
+
+def test_rarest_shingles_leave_one_in_place():
+    counts = np.full(60, 9)
+    counts[10:20] = 1
+    counts[30] = 2
+    found = substrings.rarest(counts)
+    assert 30 in found and not set(found) & set(range(10, 20))
+    counts[20:30] = 1
+    assert len(substrings.rarest(counts[:50])) == 0 and len(substrings.rarest(counts[:10])) == 0
+
+
 def jaccard(a, b):
     a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
     return len(a & b) / len(a | b)
