@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import store
 from plumbline.llm import chat, decontamination, html_text, language_model, licenses, mixing, near_dedup, neighbours, substrings, toxicity
 from plumbline.llm._text import NON_SPACE, slices, words
 
@@ -547,6 +548,22 @@ def test_near_copies_behind_first_texts(spark):
     assert sum(bool(got[i]["spans"]) and (i ^ 1) in got[i]["sources"] for i in near) == 20
 
 
+def test_windows_are_deleted_before_texts_are_compared(spark, monkeypatch):
+    rng = random.Random(43)
+    shared = prose(rng, 60)
+    docs = spark.createDataFrame([(i, f"{prose(rng, 20)} {shared} {prose(rng, 20)}") for i in range(4)], "doc_id long, text string")
+    before, kept, verified = set(store._made), [], substrings._verified
+
+    def spy(spans, seq):
+        kept.extend(set(spark.read.parquet(p).columns) for p in store._made if p not in before)
+        return verified(spans, seq)
+
+    monkeypatch.setattr(substrings, "_verified", spy)
+    got = substrings.repeated_passages(docs).collect()
+    assert kept and not any(c >= {"keys", "places"} or c == {"b", "r"} for c in kept)
+    assert sorted(len(r["spans"]) for r in got) == [0, 1, 1, 1]
+
+
 def test_rarest_shingles_leave_one_in_place():
     counts = np.full(60, 9)
     counts[10:20] = 1
