@@ -548,6 +548,73 @@ def test_near_copies_behind_first_texts(spark):
     assert sum(bool(got[i]["spans"]) and (i ^ 1) in got[i]["sources"] for i in near) == 20
 
 
+def passages_of_all_pairs(docs):
+    """Words of each text in passages that a text with a smaller hash holds, and in all that it shares, by aligning all pairs at all shifts."""
+    import pyarrow as pa
+
+    from plumbline.llm._contents import content_hashes
+    from plumbline.llm._text import ALNUM as KEEP, grams
+
+    seq, later, any_ = {}, collections.defaultdict(set), collections.defaultdict(set)
+    for i, t in docs:
+        for _, raw, off in slices(pa.array([t])):
+            _, _, h, upto = words(raw, off, KEEP)
+            seq[i] = int(content_hashes(h, upto, raw, off)[0, 0]), grams(h, substrings.SHINGLE).astype(np.uint32)
+    for a, b in itertools.permutations(seq, 2):
+        if seq[a][0] > seq[b][0] and len(np.intersect1d(seq[a][1], seq[b][1])) > 30:
+            x, y = seq[a][1], seq[b][1]
+            shifts = np.unique(np.subtract(*np.nonzero(x[:, None] == y[None, :]))).tolist()
+            for s, e, s2, e2 in [*substrings.aligned(x, y, shifts), *substrings.passages(x, y)]:
+                later[a].update(range(s, e + substrings.SHINGLE))
+                any_[a].update(range(s, e + substrings.SHINGLE))
+                any_[b].update(range(s2, e2 + substrings.SHINGLE))
+    return later, any_
+
+
+def test_edited_parts_of_passages_against_all_pairs(spark):
+    rng = random.Random(1)
+
+    def edited(w, rate):
+        out = []
+        for x in w:
+            u = rng.random() / rate if rate else 1
+            out += [prose(rng, 1)] if u < 0.6 else [] if u < 0.8 else [x, prose(rng, 1)] if u < 1 else [x]
+        return out
+
+    docs = []
+    for _ in range(30):
+        base = prose(rng, rng.randint(80, 260)).split()
+        for _ in range(rng.randint(3, 10)):
+            a = rng.randint(0, len(base) - 70)
+            docs.append(" ".join([prose(rng, rng.randint(0, 40)), *edited(base[a : rng.randint(a + 55, len(base))], rng.choice([0, 0.01, 0.02, 0.04])), prose(rng, rng.randint(0, 40))]))
+    docs = list(enumerate(docs))
+    later, any_ = passages_of_all_pairs(docs)
+    got = {r["doc_id"]: [{w for x in r[k] for w in range(x >> 31, x & 0x7FFFFFFF)} for k in ("spans", "first_spans")] for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    print("words missed", sum(len(later[i] - got[i][0]) for i, _ in docs), sum(len(any_[i] - got[i][0] - got[i][1]) for i, _ in docs), "of", sum(map(len, any_.values())))
+    assert [i for i, _ in docs if not later[i] <= got[i][0] or not any_[i] <= got[i][0] | got[i][1]] == []
+
+
+def test_prints_stand_in_each_run():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    y = np.concatenate([rng.integers(0, 1 << 63, 70).astype(np.uint64), x[200 : 200 + substrings.RUN], x[:30]])
+    texts = np.repeat([0, 1, 2], [400, 15, 85])
+    at, v = substrings.prints(x, texts)
+    assert all(((at >= i) & (at <= i + substrings.RUN - substrings.PRINT)).any() for i in range(500 - substrings.RUN + 1) if texts[i] == texts[i + substrings.RUN - 1])
+    assert (texts[at] == texts[at + substrings.PRINT - 1]).all()
+    assert set(v.tolist()) & set(substrings.prints(y, np.zeros(len(y), int))[1].tolist())
+
+
+def test_reachable_parts_hold_all_passages():
+    rng = random.Random(5)
+    for _ in range(200):
+        several = np.array([rng.random() < p for p in [rng.choice([0.5, 0.7, 0.8, 0.9, 1]) for _ in range(4)] for _ in range(30)])
+        upto, found = np.concatenate([[0], np.cumsum(several)]), substrings.reachable(several)
+        for a, b in itertools.combinations(np.flatnonzero(several).tolist(), 2):
+            if upto[b + 1] - upto[a] >= max(41, substrings.SIMILARITY * (b - a + 1)):
+                assert any(i <= a and b <= j for i, j in found)
+
+
 def test_windows_are_deleted_before_texts_are_compared(spark, monkeypatch):
     rng = random.Random(43)
     shared = prose(rng, 60)
