@@ -605,6 +605,25 @@ def test_prints_stand_in_each_run():
     assert set(v.tolist()) & set(substrings.prints(y, np.zeros(len(y), int))[1].tolist())
 
 
+def test_spans_around_prints_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n, m = 1500, 100
+    at = pa.StructArray.from_arrays([pa.array(rng.integers(0, 20, n * m).astype(np.int32)) for _ in "pq"], names=["p", "q"])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * m + 1, m).astype(np.int32)), at)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n)), lists], names=["h", "r", "hits"]).slice(5)
+    tracemalloc.start()
+    out = next(substrings._around([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak", peak)
+    assert peak < 20_000_000 and out.column(0).to_pylist() == list(range(5, n))
+    assert out.column(6).to_pylist() == [sorted({x["p"] - x["q"] for x in hits}) for hits in lists.to_pylist()[5:]]
+
+
 def test_reachable_parts_hold_all_passages():
     rng = random.Random(5)
     for _ in range(200):
