@@ -6,9 +6,13 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -915,3 +919,22 @@ def test_pages_table(spark):
     d = spark.createDataFrame([(1, "u", "<article>é x</article>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert [tuple(r) for r in html_text.extract_text(d).select("page_id", "url", "text", "n_chars").orderBy("page_id").collect()] == [(1, "u", "é x", 3), (2, None, "", 0)]
     assert html_text.extract_text(d.limit(0)).count() == 0
+
+
+def test_worker_memory():
+    # one worker stays behind for each Python step of a stage, so that each must stay small
+    code = """
+import resource
+import pyarrow as pa
+from plumbline.llm import near_dedup, substrings
+texts = [" ".join(f"w{(i * 7919 + j * j * (i + 1)) % 50021}" for j in range(300)) for i in range(100)] * 120
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["d", "text"])
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+for rows in (near_dedup._set_rows([batch.select(["text"])]), substrings._window_rows([batch])):
+    for _ in rows:
+        pass
+print(peak() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert float(out.stdout) < 65
