@@ -938,3 +938,31 @@ print(peak() - before)
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
     assert float(out.stdout) < 65
+
+
+def test_passages_that_are_held_are_not_looked_at():
+    rng = np.random.default_rng(5)
+    x = rng.permutation(1 << 20)[:120].astype(np.uint32)
+    swapped = np.concatenate([x[60:], x[:60]])
+
+    def found(y, held, held2):
+        columns = {"h": [2], "r": [1], "lo": [1000], "lo2": [0], "shifts": [[1000]], "seq": [x.tobytes()], "seq2": [y.tobytes()], "held": pa.array([held], pa.list_(pa.int64())), "held2": pa.array([held2], pa.list_(pa.int64()))}
+        return [tuple(r.values()) for b in substrings._verify([pa.RecordBatch.from_pydict(columns)]) for r in b.to_pylist()]
+
+    own, other = (1000 << 31) + 1119, 119
+    for y in (x, swapped):
+        assert any(r[2:4] == (1000, 1124) for r in found(y, [], None))
+        assert any(r[2:4] == (1000, 1124) for r in found(y, [own - 1], None))
+        # the texts that hold it are named all the same
+        assert any(r[4:] == (0, 124) for r in found(y, [own], []))
+        assert any(r[4:] == (0, 124) for r in found(y, [own], [other]))
+        assert not found(y, [own], None)
+
+
+def test_matched():
+    rng = np.random.default_rng(6)
+    for n, k in ((0, 0), (0, 5), (5, 0), (40, 60), (90, 30)):
+        x, y = rng.integers(0, 50, n).astype(np.uint32), rng.integers(0, 50, k).astype(np.uint32)
+        m = substrings.Matched(x, y)
+        assert m.both.tolist() == np.isin(x, y).tolist()
+        assert m.back().tolist() == np.isin(y, x).tolist()
