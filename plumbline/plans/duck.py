@@ -169,6 +169,9 @@ SELECT file, line, id AS owner FROM (
   SELECT p.file, p.line, u.id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY u.end_line - u.start_line, u.id) AS rn
   FROM (SELECT file, line FROM {c_lines} UNION SELECT file, line FROM {c_branches}) p
   JOIN {c_units} u ON u.file = p.file AND p.line BETWEEN u.start_line AND u.end_line) WHERE rn = 1"""
+#: Clones that begin with windows at any number of places, and what is made of them: the same fragments without that limit, named w_ for x_.
+WHOLE = ("x_candidates", "x_maximal")
+FRAGMENTS |= {"w" + n[1:]: re.sub(r"\{x(_\w+)\}", lambda m: "{w" + m[1] + "}" if "x" + m[1] in WHOLE else m[0], FRAGMENTS[n].replace("places <= 200 AND ", "")) for n in WHOLE}
 SCOPED = ("fan_in", "fan_out", "function_size", "params", "cyclomatic", "cognitive", "max_scope", "methods_per_struct", "file_loc")
 
 
@@ -226,7 +229,7 @@ ORACLES = {
     "kgram_windows": sql("SELECT file, count(*) AS windows, count(DISTINCT gram) AS grams FROM {x_grams} GROUP BY file"),
     "kgram_buckets": sql("SELECT places, count(*) AS buckets FROM {x_buckets} GROUP BY places"),
     "clone_candidates": sql("SELECT file_a, pos_a, file_b, pos_b FROM {x_candidates}"),
-    "clones_maximal": sql("SELECT * FROM {x_maximal}"),
+    "clones_maximal": sql("SELECT * FROM {w_maximal}"),
     "clones_unsubsumed": sql("SELECT * FROM {x_clones}"),
     "duplication_pct": sql("SELECT id, pct FROM {x_pct}"),
     "duplication_summary": sql("""

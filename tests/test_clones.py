@@ -87,6 +87,31 @@ def test_only_windows_that_clones_begin_with_are_sent(spark):
     assert sorted(found(spark, {"a": block, "b": [-2, *block]}, 50)) == [("a", 1, 2000, "b", 2, 2001, 2000)]
 
 
+def whole(files, k):
+    """All clones, subsumed ones too: as brute, without a limit of places."""
+    out = []
+    flat = [(f, i) for f in sorted(files) for i in range(len(files[f]) - k + 1)]
+    for x, (fa, a) in enumerate(flat):
+        for fb, b in flat[x + 1 :]:
+            if files[fa][a : a + k] != files[fb][b : b + k] or a and b and files[fa][a - 1] == files[fb][b - 1] or fa == fb and a + k > b:
+                continue
+            n = k
+            while a + n < len(files[fa]) and b + n < len(files[fb]) and not (fa == fb and a + n >= b) and files[fa][a + n] == files[fb][b + n]:
+                n += 1
+            out.append((fa, a + 1, a + n, fb, b + 1, b + n, n))
+    return sorted(out)
+
+
+def test_windows_at_any_number_of_places(spark):
+    # 230 places after others; 229 after others again, whose second windows stand at 230, 229 of them after one token; and the starts of 30 files
+    files = {f"f{i:03}": [f"x{i}", *range(6), f"y{i % 7}"] for i in range(230)} | {f"g{i:03}": [f"z{i}", "p" if i else "q", *range(20, 26)] for i in range(230)} | {f"h{i:02}": [*range(40, 46), i % 2] for i in range(30)}
+    t = clones.sequences(tokens(spark, files))
+    got = sorted(tuple(r) for r in clones.maximal(*clones.starts(t, 6), 6, None).collect())
+    assert len(got) == 230 * 229 // 2 + 229 * 228 // 2 + 229 + 30 * 29 // 2 and got == whole(files, 6)
+    # the limit stays where it is asked for
+    assert clones.maximal(*clones.starts(t, 6), 6).count() == 30 * 29 // 2
+
+
 def test_sequences_of_texts_that_share_a_key(spark, tmp_path):
     from plumbline.plans.adapters import Tables
 
