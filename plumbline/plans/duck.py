@@ -170,7 +170,7 @@ SELECT file, line, id AS owner FROM (
   FROM (SELECT file, line FROM {c_lines} UNION SELECT file, line FROM {c_branches}) p
   JOIN {c_units} u ON u.file = p.file AND p.line BETWEEN u.start_line AND u.end_line) WHERE rn = 1"""
 #: Clones that begin with windows at any number of places, and what is made of them: the same fragments without that limit, named w_ for x_.
-WHOLE = ("x_candidates", "x_maximal")
+WHOLE = ("x_candidates", "x_maximal", "x_clones", "x_dup_lines", "x_pct", "x_dist", "x_looked", "x_scored", "x_rows")
 FRAGMENTS |= {"w" + n[1:]: re.sub(r"\{x(_\w+)\}", lambda m: "{w" + m[1] + "}" if "x" + m[1] in WHOLE else m[0], FRAGMENTS[n].replace("places <= 200 AND ", "")) for n in WHOLE}
 SCOPED = ("fan_in", "fan_out", "function_size", "params", "cyclomatic", "cognitive", "max_scope", "methods_per_struct", "file_loc")
 
@@ -254,7 +254,7 @@ UNION ALL SELECT 'elsewhere', unnest(['no_file_matches', 'no_branch_records']) F
     "hub_rows": sql(_code_rows + " WHERE metric = 'fan_in'"),
     "ignores_filtered": sql(_rows + " r WHERE metric IN ('lcom', 'methods_per_struct') AND NOT EXISTS (SELECT 1 FROM {x_ignored} i WHERE i.symbol = r.symbol AND i.metric = r.metric)"),
     "disabled_pruned": sql(_rows + " WHERE metric NOT IN ('cyclomatic', 'file_loc', 'duplication_pct')"),
-    "metric_rows_all": sql(_rows),
+    "metric_rows_all": sql(_rows.replace("{x_rows}", "{w_rows}")),
     "metric_rows_topk": sql(f"""
 SELECT metric, symbol, value, bucket, row_number() OVER (ORDER BY {_place(SHOWN)}, severity DESC, collect_ord, dist_rank) AS shown_ord
 FROM (SELECT * FROM {{x_rows}} ORDER BY severity DESC, collect_ord, dist_rank LIMIT 10)"""),

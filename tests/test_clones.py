@@ -112,6 +112,31 @@ def test_windows_at_any_number_of_places(spark):
     assert clones.maximal(*clones.starts(t, 6), 6).count() == 30 * 29 // 2
 
 
+def spread(found):
+    return {(f, line) for r in found for f, s, e in ((r[0], r[1], r[2]), (r[3], r[4], r[5])) for line in range(s, e + 1)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_of_all_clones(spark, seed, monkeypatch):
+    monkeypatch.setattr(clones, "PAIRS", 3)
+    random.seed(seed)
+    files = {}
+    for i in range(40):
+        block = [random.randint(0, 2) for _ in range(random.randint(1, 5))] if i % 2 else [10 * i + j for j in range(random.randint(2, 9))]
+        files[f"f{i:02}"] = [x for _ in range(random.randint(1, 9)) for x in (*block, *([random.randint(100, 400)] if random.random() < 0.4 else []))]
+    got = clones.clones_of(clones.sequences(tokens(spark, files)), 4, None, True).collect()
+    assert {(r["file"], line) for r in got for line in range(r["start_line"], r["end_line"] + 1)} == spread(whole(files, 4))
+
+
+def test_lines_of_windows_at_many_places(spark):
+    files = {f"f{i:03}": [*range(6), f"y{i}", f"z{i}"] for i in range(230)}
+    t = clones.sequences(tokens(spark, files))
+    got = clones.clones_of(t, 6, None, True).collect()
+    assert {(r["file"], line) for r in got for line in range(r["start_line"], r["end_line"] + 1)} == {(f, i + 1) for f in files for i in range(6)}
+    with pytest.raises(ValueError):
+        clones.clones_of(t, 6, 200, True)
+
+
 def test_sequences_of_texts_that_share_a_key(spark, tmp_path):
     from plumbline.plans.adapters import Tables
 

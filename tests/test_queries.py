@@ -63,3 +63,25 @@ def test_no_clones_where_nothing_counts_them(spark, monkeypatch):
         queries.all_distributions(t, fan)
     with pytest.raises(AssertionError):
         queries.all_distributions(t, fan, symbol="doc0::all")
+
+
+def test_duplication_of_rows_counts_windows_at_many_places(spark, tmp_path):
+    from plumbline.operators import clones, duplication
+    from plumbline.plans.adapters import Tables
+
+    shared = "\n".join(" ".join(f"w{10 * i + j}" for j in range(10)) for i in range(5))
+    own = "\n".join(["own"] * 7)
+    docs = [(i, f"a{i}\n{shared}\n" + own.replace("own", f"own{i}")) for i in range(203)] + [(900, "x " * 130)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tables(spark, str(tmp_path))
+    got = duplication.share(duplication.lines_of(clones.clones_of(t.sequences, 50, None, True)), t.blocks)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(duck_sql.sql("SELECT id, pct FROM {w_pct}")).df()
+    assert (want["pct"] > 0).sum() > 203
+    assert canonical(got.toPandas()) == canonical(want)
+
+
+@pytest.mark.parametrize("name", ["metric_rows_all"])
+def test_rows_have_no_limit_of_places(name):
+    assert "places <=" not in ORACLES[name]
