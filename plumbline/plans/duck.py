@@ -257,7 +257,7 @@ UNION ALL SELECT 'elsewhere', unnest(['no_file_matches', 'no_branch_records']) F
     "metric_rows_all": sql(_rows.replace("{x_rows}", "{w_rows}")),
     "metric_rows_topk": sql(f"""
 SELECT metric, symbol, value, bucket, row_number() OVER (ORDER BY {_place(SHOWN)}, severity DESC, collect_ord, dist_rank) AS shown_ord
-FROM (SELECT * FROM {{x_rows}} ORDER BY severity DESC, collect_ord, dist_rank LIMIT 10)"""),
+FROM (SELECT * FROM {{w_rows}} ORDER BY severity DESC, collect_ord, dist_rank LIMIT 10)"""),
     "flagship_topk": sql(f"""
 SELECT metric, symbol, value, bucket, row_number() OVER (ORDER BY {_place(SHOWN)}, severity DESC, collect_ord, dist_rank) AS shown_ord
 FROM (SELECT * FROM {{x_code_rows}} ORDER BY severity DESC, collect_ord, dist_rank LIMIT 10)"""),

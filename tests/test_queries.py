@@ -82,6 +82,6 @@ def test_duplication_of_rows_counts_windows_at_many_places(spark, tmp_path):
     assert canonical(got.toPandas()) == canonical(want)
 
 
-@pytest.mark.parametrize("name", ["metric_rows_all"])
+@pytest.mark.parametrize("name", ["metric_rows_all", "metric_rows_topk"])
 def test_rows_have_no_limit_of_places(name):
     assert "places <=" not in ORACLES[name]
