@@ -159,6 +159,14 @@ def test_sample_of_a_table_in_many_parts_sends_few_rows(spark, monkeypatch):
     assert 100 <= sent[0] <= 200
 
 
+def test_entries_exchange_vectors_once(spark):
+    rows = [(i % 40, [float(i % 3)]) for i in range(400)] + [(7, [5.0]), (7, [5.0]), (900, [-0.0])]
+    few = neighbours._entries(spark.createDataFrame(rows, "_v long, _x array<double>"), 3)
+    assert {r["_x"][0]: r["ids"] for r in few.collect()} == {0.0: [0, 1, 2, 3], 1.0: [0, 1, 2, 3], 2.0: [0, 1, 2, 3], 5.0: [7]}
+    plan = few._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_nearest_of_vectors_as_large_and_as_small_as_doubles(spark):
     rng = np.random.default_rng(22)
     x = rng.normal(size=(40, 6))
